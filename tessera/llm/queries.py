@@ -1,13 +1,17 @@
 """The registered queries of the corpus operators and their DuckDB SQL."""
 
-from tessera.llm import lines, mixing
+from tessera.llm import decontam, lines, mixing, sharding
 
 QUERIES = {
+    "op1_decontamination": decontam.op1,
+    "op3_sharding": sharding.op3,
     "op9_mixing": mixing.op9,
     "op10_line_dedup": lines.op10,
 }
 
 ORACLES = {
+    "op1_decontamination": decontam.ORACLE,
+    "op3_sharding": sharding.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
