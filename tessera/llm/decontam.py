@@ -16,10 +16,12 @@ pass over all documents. One pass needs no shuffle at all.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +122,7 @@ def _search(searcher, name: str, keep: list[str]):
     """Adds to each row, or carries on, a struct `name` of word count, hit word intervals and item ids."""
 
     def run(batches):
-        s = searcher.value
+        s = pickle.loads(searcher.value)
         for batch in batches:
             t = pa.Table.from_batches([batch])
             before = t[name].to_pylist() if name in t.column_names else [None] * len(t)
@@ -198,7 +200,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, name: str = "__decon", block_byt
     kind = f"`{name}` struct<n_words: long, hit: array<struct<a: long, z: long>>, items: array<string>>"
     out = docs
     for turn, block in enumerate(_blocks(benchmark, block_bytes)):
-        s = sc.broadcast(Searcher(block))  # of at most block_bytes, or of one item
+        s = sc.broadcast(cloudpickle.dumps(Searcher(block)))  # of at most block_bytes, or of one item
         src = cut(out) if turn else out
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         out = src.withColumn("__text", F.col("text")).mapInArrow(_search(s, name, keep), f"{fields}, {kind}" if fields else kind)
