@@ -1,10 +1,12 @@
 """The registered queries of the corpus operators and their DuckDB SQL."""
 
-from tessera.llm import decontam, lines, mixing, sharding
+from tessera.llm import decontam, lines, mixing, sharding, simhash, substring
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
+    "op2_simhash": simhash.op2,
     "op3_sharding": sharding.op3,
+    "op8_substring_dedup": substring.op8,
     "op9_mixing": mixing.op9,
     "op10_line_dedup": lines.op10,
 }
@@ -12,6 +14,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontam.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op8_substring_dedup": substring.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
