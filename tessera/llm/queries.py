@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators and their DuckDB SQL."""
 
-from tessera.llm import decontam, lines, media, mixing, sharding, simhash, substring
+from tessera.llm import decontam, lines, media, mixing, sharding, simhash, substring, tokenfile
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
     "op2_simhash": simhash.op2,
     "op3_sharding": sharding.op3,
     "op4_media_sequences": media.op4,
+    "op5_token_files": tokenfile.op5,
     "op8_substring_dedup": substring.op8,
     "op9_mixing": mixing.op9,
     "op10_line_dedup": lines.op10,
