@@ -32,7 +32,7 @@ from tessera.llm.common import mix, span_hashes, utf8, word_hashes, words
 #: Rounds of run and pair naming; a symbol is 5.6 words long on average after 6.
 ROUNDS = 6
 #: Bytes of text that a task compares at a time.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
