@@ -148,3 +148,34 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hashes(BYTE_VALUES[buf], starts, ends, 0xD6E8FEB86659FD93)
+
+
+class Lookup:
+    """A table from 64-bit keys (not 0) to numbers, by open addressing in numpy arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = np.uint64(64 - bits)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = keys[free]
+            self.values[at[free]] = values[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_ODD)) >> self.bits).astype(np.int64)
+
+    def find(self, keys: np.ndarray, other) -> np.ndarray:
+        """The numbers of the keys; `other` for those that aren't in the table."""
+        at = self._place(keys)
+        out, left = np.full(len(keys), other, self.values.dtype), np.arange(len(keys))
+        while len(left):
+            key = self.keys[at[left]]
+            same = key == keys[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (key != 0)]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        return out
