@@ -214,6 +214,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return x.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", (n_hit > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with all their columns, without those that hold a window of a test item."""
+    return mark(docs, benchmark).filter(F.size("__decon.hit") == 0).drop("__decon")
+
+
 def op1(spark, sf_dir):
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

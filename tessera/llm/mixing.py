@@ -44,21 +44,10 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, most: int = 3, seed: str = "mix", whole: bool = False) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    docs: doc_id, source, text; other columns are ignored. Returns doc_id,
-    source, size (words), source_size, target, taken, copies. taken: words,
-    repeats counted; a source's sum is its target, rounded, and the document
-    at the cut gives a part. copies: how often a mix of whole documents takes
-    this one; the document at the cut is in it if at least half of it fits.
-    whole: taken counts those copies. Null text has no words and is never
-    taken; null is a source of its own; rows with the same doc_id stand in the
-    order of their sizes. Reruns give the same rows.
-    """
+def _placed(docs: DataFrame, most: int, seed: str) -> DataFrame:
+    """Each document's place in its source's order: what mix_sources() returns, and key, passes and part."""
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, DIGITS))
+    rows = rows.withColumn("key", _key(seed)).withColumn("range", F.substring("key", 1, DIGITS))
     targets = source_targets(rows, most).withColumnRenamed("source", "target_source")
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,14 +56,51 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: str = "mix", whole: bool =
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = rows.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
-    before, size = F.col("base") + F.col("inner"), F.col("size")
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - passes * F.col("source_size")
-    part = F.least(F.greatest(rest - before, F.lit(0)), size)
-    copies = F.when(size > 0, passes + F.when((part > 0) & (2 * part >= size), 1).otherwise(0)).otherwise(0).cast("long")
-    taken = copies * size if whole else passes * size + part
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"))
+    rest = F.greatest(budget - passes * F.col("source_size") - F.col("base") - F.col("inner"), F.lit(0))
+    out = out.withColumn("passes", passes).withColumn("part", F.least(rest, F.col("size")))
+    extra = (F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))
+    copies = F.when(F.col("size") > 0, F.col("passes") + F.when(extra, 1).otherwise(0)).otherwise(0).cast("long")
+    taken = (F.col("passes") * F.col("size") + F.col("part")).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), "key", "passes", "part")
+
+
+def _key(seed: str):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def mix_sources(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
+    """How many words of each document the mix takes.
+
+    docs: doc_id, source, text; other columns are ignored. Returns doc_id,
+    source, size (words), source_size, target, taken, copies. taken: words,
+    repeats counted; a source's sum is its target, rounded, and the document
+    at the cut gives a part. copies: how often a mix of whole documents takes
+    this one; the document at the cut is in it if at least half of it fits.
+    Null text has no words and is never taken; null is a source of its own;
+    rows with the same doc_id stand in the order of their sizes. Reruns give
+    the same rows.
+    """
+    return _placed(docs, most, seed).drop("key", "passes", "part")
+
+
+def mix_documents(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: whole documents with all their columns, each as often as mix_sources() counts copies.
+
+    Texts don't move: a source's last key of the final pass decides, and one
+    row for each source is joined to the documents. Rows that share a doc_id
+    and a size are taken together.
+    """
+    placed = _placed(docs, most, seed).filter("size > 0")
+    last = F.max(F.when(F.col("copies") > F.col("passes"), F.struct("key", "doc_id", "size")))
+    cuts = placed.groupBy("source").agg(F.first("passes").alias("__passes"), last.alias("__last")).withColumnRenamed("source", "__source")
+    columns = docs.columns
+    rows = docs.withColumn("__size", word_count(F.col("text"))).filter("__size > 0").withColumn("__key", _key(seed))
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("__source")))
+    place = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("__size").alias("size"))
+    copies = F.col("__passes") + F.when(F.col("__last").isNotNull() & (place <= F.col("__last")), 1).otherwise(0)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
 
 
 def op9(spark, sf_dir):

@@ -246,5 +246,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
     return out.select("doc_id", F.coalesce(held_out_third(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with all their columns, without those that score below 0.5; every labelled document may teach the field."""
+    return score(docs, fit(docs, labels, F.lit(False))).filter(F.col("__score") >= 0.5).drop("__score")
+
+
 def op6(spark, sf_dir):
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

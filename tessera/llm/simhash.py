@@ -225,6 +225,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, check: i
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, check: int = 12) -> DataFrame:
+    """docs with all their columns, of each group of near-duplicates the one with the smallest doc_id.
+
+    Five-word shingles; fingerprints within 5 of 64 bits (a similarity of
+    0.92), and within 12 of 64 bits by a second seed. Of repeated rows one
+    stays. Rows with a null doc_id take no part and stay.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    stay = near_duplicates(named, shingle, radius, check).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+
+
 def op2(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, radius=3)
 
