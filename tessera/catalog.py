@@ -567,7 +567,7 @@ def confidence(spark, d):
     return s.groupBy("label").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("score"))), 6).alias("confidence"))
 
 
-@query("rgb_to_hsv", "SELECT p_partkey, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS gray, round(greatest(r, g, b) / 255, 6) AS v, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE 1 - least(r, g, b) / greatest(r, g, b) END, 6) AS s FROM (SELECT p_partkey, p_partkey % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 7 % 256 AS b FROM part)")
+@query("rgb_to_hsv", "SELECT p_partkey, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS gray, round(greatest(r, g, b) / 255, 6) AS v, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) / 255 - least(r, g, b) / 255) / (greatest(r, g, b) / 255) END, 6) AS s FROM (SELECT p_partkey, p_partkey % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 7 % 256 AS b FROM part)")
 def rgb_to_hsv(spark, d):
     x = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 256).alias("r"), (F.col("p_size") * 5 % 256).alias("g"), (F.col("p_partkey") * 7 % 256).alias("b"))
     h = M.hsv(F.col("r"), F.col("g"), F.col("b"))

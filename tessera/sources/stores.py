@@ -28,7 +28,7 @@ class Table:
 
     def replace(self, rows: DataFrame) -> None:
         new = f"v-{uuid.uuid4().hex}"
-        rows.select(self.read().columns).write.parquet(f"{self.path}/{new}")
+        rows.select([F.col(f.name).cast(f.dataType) for f in self.read().schema]).write.parquet(f"{self.path}/{new}")
         self.spark.createDataFrame([(new,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
 
     def upsert(self, rows: DataFrame) -> None:
