@@ -9,11 +9,12 @@ any two fingerprints that differ only there share its bucket. No pair within
 the radius is lost, whatever the data.
 
 Only distinct fingerprints are compared. Buckets of two are settled by a XOR
-in the aggregate itself; larger ones by blocks of popcounts in numpy, of which
-the links of a spanning forest leave the task, never all pairs. A bucket of
-more than CAP members is hashed again by the same construction on the bits its
-table ignored, which holds for the third time at most: then so few bits are
-left that no bucket can exceed CAP. Components are found by alternating
+in the aggregate itself; larger ones by popcounts in numpy, one member against
+all that aren't reached yet, of which the links of a spanning forest leave the
+task, never all pairs. A bucket of more than CAP members is hashed again by the
+same construction on the bits its table ignored; a table ignores about half of
+them, so after DEPTH times about two bits are left, and few fingerprints.
+Components are found by alternating
 large-star and small-star rounds, all in DataFrames.
 """
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, slices, utf8, words
 
-#: Members of a bucket that are compared directly.
-CAP = 512
+#: Members of a bucket that are compared directly, and times that a larger one is hashed again.
+CAP, DEPTH = 4096, 4
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -102,29 +103,30 @@ def fingerprints(docs: DataFrame, shingle: int = 5, check: bool = False) -> Data
 
 
 def _forest(radius: int, far: int):
-    """Links of a spanning forest of each bucket: a, b (nodes)."""
+    """Links of a spanning forest of each bucket: a, b (nodes). Each member is compared once with all that aren't reached yet."""
 
     def run(batches):
         for batch in batches:
             nodes, fps, chks = (batch.column(i) for i in range(3))
             a, b = [], []
-            if len(batch):
-                off = nodes.offsets.to_numpy()
-                flat = [x.values.to_numpy(zero_copy_only=False) for x in (nodes, fps, chks)]
-                for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    node, fp, chk = (v[x:y] for v in flat)
-                    near = np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)) <= radius
-                    near &= np.bitwise_count(chk.view(np.uint64)[:, None] ^ chk.view(np.uint64)) <= far
-                    label = np.arange(y - x)
-                    while True:
-                        least = np.where(near, label[None, :], y - x).min(1)
-                        least = least[least]
-                        if (least == label).all():
-                            break
-                        label = least
-                    own = np.flatnonzero(label != np.arange(y - x))
-                    a.append(node[own])
-                    b.append(node[label[own]])
+            off = nodes.offsets.to_numpy() if len(batch) else np.zeros(1, np.int32)
+            flat = [x.values.to_numpy(zero_copy_only=False) for x in (nodes, fps, chks)]
+            for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                node, fp, chk = flat[0][x:y], flat[1][x:y].view(np.uint64), flat[2][x:y].view(np.uint64)
+                left, reached = np.arange(y - x), []
+                while reached or len(left):
+                    if not reached:
+                        reached, left = [int(left[0])], left[1:]
+                    k = reached.pop()
+                    near = np.bitwise_count(fp[left] ^ fp[k]) <= radius
+                    if far < 64:
+                        near &= np.bitwise_count(chk[left] ^ chk[k]) <= far
+                    own = left[near]
+                    if len(own):
+                        a.append(node[own])
+                        b.append(np.full(len(own), node[k]))
+                        reached += own.tolist()
+                        left = left[~near]
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)]
             yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
@@ -135,37 +137,35 @@ def near_links(prints: DataFrame, radius: int = 3, far: int = 64, cap: int = CAP
     """Links a, b among distinct prints (node, fp, chk) that connect whatever lies within the radius, in chains also.
 
     chk must agree but for `far` bits too. Enough links for the components,
-    each between two prints of one component.
+    each between two prints of one component. In a row, `left` has the bits
+    that the tables which led here ignored, `home` names the bucket that was
+    overfull (0 at first).
     """
-    none = prints.sparkSession.createDataFrame([], "a long, b long")
-    positions = [[*range(64)]]
-    rows, links, depth = prints.withColumn("path", F.lit(0)), none, 0
-    while True:
-        tables = [[(m, p) for m in covering_masks(p, radius)] for p in positions]
-        n = len(tables[0])
-        masks = [_signed(m) for t in tables for m, _ in t]
-        here = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("path", F.col("path") * n + F.col("t")).drop("t")
-        mask = F.get(F.array(*map(F.lit, masks)), F.col("path"))
-        here = here.withColumn("key", F.col("fp").bitwiseAND(mask))
-        on = ["path", "key"] if not depth else ["path", "key", "home"]
+    rows, links = prints.withColumns({"left": F.lit(-1).cast("long"), "home": F.lit(0).cast("long")}), None
+    for depth in range(DEPTH + 1):
+        last = depth == DEPTH
+        masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(_turned(depth), radius)])
+        here = rows.withColumn("mask", F.explode(masks)).withColumn("key", F.col("fp").bitwiseAND(F.col("mask").bitwiseAND(F.col("left"))))
+        on = ["home", "mask", "key"]
         sums = here.groupBy(*on).agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor("chk").alias("y"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1")
         sums = cut(sums)
         two = sums.filter((F.col("n") == 2) & (F.bit_count("x") <= radius) & (F.bit_count("y") <= far)).select("a", "b")
-        left = [[p for p in own if not m >> p & 1] for t in tables for m, own in t]
-        last = max(map(len, left)).bit_length() and 1 << max(map(len, left)) <= cap or not any(left)
-        most = sums.select("n").filter(F.col("n") > cap).isEmpty()
-        some = sums.filter("n > 2").select(*on, F.col("n").alias("size"))
-        if not last:
-            some = some.filter(F.col("size") <= cap)
+        some = sums.filter("n > 2" if last else f"n > 2 and n <= {cap}").select(*on)
         groups = here.join(some, on).groupBy(*on).agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"), F.collect_list("chk").alias("chks"))
-        links = links.union(two).union(groups.select("nodes", "fps", "chks").mapInArrow(_forest(radius, far), "a long, b long"))
-        if last or most:
+        found = two.union(groups.select("nodes", "fps", "chks").mapInArrow(_forest(radius, far), "a long, b long"))
+        links = found if links is None else links.union(found)
+        hot = sums.filter(F.col("n") > cap).select(*on)
+        if last or hot.isEmpty():
             return cut(links.distinct())
         # The overfull buckets, hashed again on the bits that their table ignores.
-        hot = sums.filter(F.col("n") > cap).select(*on)
-        home = F.xxhash64("path", "key", *on[2:])
-        rows = cut(here.join(hot, on).withColumn("home", home).select("node", "fp", "chk", "path", "home"))
-        positions, depth = left, depth + 1
+        left = F.col("left").bitwiseAND(F.bitwise_not("mask"))
+        rows = cut(here.join(hot, on).select("node", "fp", "chk", left.alias("left"), F.xxhash64(*on).alias("home")))
+
+
+def _turned(depth: int) -> list[int]:
+    """All bit positions, in another order at each depth, so that tables of different depths ignore different halves."""
+    step = (1, 23, 11, 37, 29, 51)[depth % 6]
+    return [(p * step + depth) % 64 for p in range(64)]
 
 
 def components(links: DataFrame) -> DataFrame:

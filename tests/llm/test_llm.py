@@ -140,7 +140,7 @@ def near_docs():
     return rows + rows[10:14]
 
 
-@pytest.mark.parametrize("cap", [simhash.CAP, 4])
+@pytest.mark.parametrize("cap", [simhash.CAP, 24])
 def test_simhash(spark, near_docs, cap):
     named = [x for x in near_docs if x[0] is not None]
     got = simhash.near_duplicates(docs_of(spark, named), 3, 3, cap=cap)
