@@ -17,6 +17,8 @@ from tessera.llm.common import cut, word_count
 
 #: Hex digits of a key that name its range.
 DIGITS = 3
+#: Sources whose rows (about 100 bytes each) are broadcast.
+FEW_SOURCES = 50_000
 
 
 def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
@@ -88,13 +90,17 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
 def mix_documents(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: whole documents with all their columns, each as often as mix_sources() counts copies.
 
-    Texts don't move: a source's last key of the final pass decides, and one
-    row for each source is joined to the documents. Rows that share a doc_id
-    and a size are taken together.
+    A source's last key of the final pass decides, and one row for each source
+    is joined to the documents. Up to FEW_SOURCES these rows are broadcast and
+    texts don't move; beyond, the join is a shuffled one. Rows that share a
+    doc_id and a size are taken together.
     """
     placed = _placed(docs, most, seed).filter("size > 0")
     last = F.max(F.when(F.col("copies") > F.col("passes"), F.struct("key", "doc_id", "size")))
     cuts = placed.groupBy("source").agg(F.first("passes").alias("__passes"), last.alias("__last")).withColumnRenamed("source", "__source")
+    cuts = cut(cuts)
+    if cuts.count() <= FEW_SOURCES:
+        cuts = F.broadcast(cuts)
     columns = docs.columns
     rows = docs.withColumn("__size", word_count(F.col("text"))).filter("__size > 0").withColumn("__key", _key(seed))
     rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("__source")))
