@@ -13,8 +13,8 @@ texts, from the same start (the unigram model); each weight row is then
 averaged over tasks by how often they saw its feature. Rows are summed on the
 executors, the driver gets the final table, whose size is fixed.
 
-Counts are exact and cover all training texts. The 2**18 most frequent tokens'
-counts go to every task (a fixed size); rarer tokens travel to the task that
+Counts are exact and cover all training texts. The most frequent tokens' counts
+(2**18 at most) go to every task; rarer tokens travel to the task that
 has their count, as one row for each document they are in, and come back as
 sums. So no task holds a vocabulary, and no hot token travels at all.
 """
@@ -67,11 +67,11 @@ def _contexts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Model:
     """Vocabulary, start (unigram) weights, hashed weights and what the open classes hold."""
 
-    def __init__(self, frequent: list[tuple[int, int]], open_mass: np.ndarray, total: int, distinct: int):
+    def __init__(self, frequent: np.ndarray, times: np.ndarray, open_mass: np.ndarray, total: int, distinct: int):
+        """frequent: tokens, the most frequent first; times: their counts."""
         own = frequent[: CLASSES * PER_CLASS]
-        keys = np.array([k for k, _ in own], np.int64).view(np.uint64)
-        self.words = Lookup(keys, np.arange(len(own), dtype=np.int32))
-        counts = np.array([c for _, c in own], float)
+        self.words = Lookup(own, np.arange(len(own), dtype=np.int32))
+        counts = times[: len(own)].astype(float)
         self.closed = np.full((CLASSES, PER_CLASS), -1e4, np.float32)  # no such word
         mass = np.zeros(ALL)
         for k in range(CLASSES):
@@ -83,8 +83,7 @@ class Model:
         self.start = np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e4).astype(np.float32)
         self.weights = np.zeros((STARTS[-1], PER_CLASS), np.float32)
         self.total, self.distinct = total, distinct
-        all_keys = np.array([k for k, _ in frequent], np.int64).view(np.uint64)
-        self.counts = Lookup(all_keys, np.array([c for _, c in frequent], np.int64))
+        self.counts = Lookup(frequent, times)
 
     def rows(self, h: np.ndarray, first: np.ndarray):
         """Class, word in class (-1 in open classes) and feature rows of each token."""
@@ -321,20 +320,41 @@ def _gather(batches):
         yield out()
 
 
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and counts, the most frequent first: the vocabulary, and all above a level that at most FREQUENT exceed.
+
+    The level comes from a histogram of the counts' logarithms (a few thousand
+    rows), so no task sends more than its own share of the result.
+    """
+    level = F.floor(F.log2("c") * 64)
+    many, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):
+        many += r.n
+        if many > FREQUENT:
+            break
+        least = r.level
+    top = counts.orderBy(F.desc("c"), "h").limit(CLASSES * PER_CLASS).toArrow()
+    most = counts.filter(level >= least).toArrow()
+    h, c = (np.concatenate([t[n].to_numpy() for t in (top, most)]) for n in ("h", "c"))
+    h, own = np.unique(h, return_index=True)
+    c = c[own]
+    order = np.lexsort((h, -c))
+    return h[order].astype(np.int64).view(np.uint64), c[order].astype(np.int64)
+
+
 def fit(docs: DataFrame) -> Model:
     """A model of the texts that aren't held out; docs: text, held."""
     sc = docs.sparkSession.sparkContext
     counts = docs.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = cut(counts)
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    frequent = [(r.h, r.c) for r in counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()]  # a fixed size
+    keys, times = _frequent(counts)
     mass = np.ones(OPEN)  # of tokens never seen
-    closed = [k for k, _ in frequent[: CLASSES * PER_CLASS]]
+    closed = slice(0, CLASSES * PER_CLASS)
     for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(OPEN - 1)).alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
         mass[r.k] += r.s
-    for k, c in frequent[: len(closed)]:
-        mass[k & (OPEN - 1)] -= c + 1
-    model = Model(frequent, mass, total.n or 0, total.v or 0)
+    np.subtract.at(mass, (keys[closed] & np.uint64(OPEN - 1)).astype(np.int64), times[closed] + 1)
+    model = Model(keys, times, mass, total.n or 0, total.v or 0)
     sent = sc.broadcast(pickle_by_value(model))
     rows = docs.mapInArrow(_train(sent), "row int, n long, w binary").repartition("row").mapInArrow(_sum, "row int, w binary")
     for r in rows.toLocalIterator():
