@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices, utf8, words
+from tessera.llm.common import cut, mix, slices, span_hashes, utf8, word_hashes, words
 
 #: Members of a bucket that are compared directly, and times that a larger one is hashed again.
 CAP, DEPTH = 4096, 4
@@ -225,15 +225,191 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, check: i
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, check: int = 12) -> DataFrame:
+#: keep_one: 64-bit fingerprints of a document, tables over their bits, bits of a table's key.
+PRINTS, TABLES, KEY_BITS = 4, 64, 15
+#: Of the first 128 bits, how many may differ in a pair that is worth comparing; at Jaccard 0.8 it is 19, standard deviation 4.
+FAR = 40
+#: Documents are near-duplicates if common shingles are at least 4/5 of all that either has.
+NEAR = (4, 5)
+
+
+def _shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each document's shingles, and each document's first (n+1)."""
+    low = np.frombuffer(buf.tobytes().translate(_LOWER), np.uint8)
+    starts, ends, first = words(low, off)
+    n = np.diff(first)
+    m = np.where(n > 0, np.maximum(1, n - shingle + 1), 0)
+    begin = np.concatenate(([0], np.cumsum(m)))
+    w = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], m)
+    h = span_hashes(word_hashes(low, starts, ends), w, np.minimum(w + shingle, np.repeat(first[1:], m)), 0x9FB21C651E98DF25)
+    doc = np.repeat(np.arange(len(n)), m)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=len(n)))))
+
+
+def _set_name(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that name each set of hashes."""
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt)))))
+        out.append((sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
+def _set_prints(shingle: int):
+    """doc_id, the name of its set of shingles (s, t) and fingerprints of the set by independent seeds."""
+
+    def run(batches):
+        for batch in batches:
+            buf, off = utf8(batch.column(1))
+            for i, j in slices(off, 1 << 20):
+                h, begin = _shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                out = np.zeros((PRINTS, j - i), np.uint64)
+                has = np.flatnonzero(np.diff(begin))
+                if len(has):
+                    for k in range(PRINTS):
+                        out[k, has] = _vote(mix(h * np.uint64(2) + np.uint64(0xD6E8FEB86659FD93 + 2 * k)), np.append(begin[has], begin[-1]))
+                cols = [batch.column(0).slice(i, j - i), *map(pa.array, _set_name(h, begin)), *[pa.array(x.view(np.int64)) for x in out]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "s", "t", *[f"f{k}" for k in range(PRINTS)]])
+
+    return run
+
+
+def _sets(shingle: int):
+    """The name of each document's set (s, t) and the set itself."""
+
+    def run(batches):
+        for batch in batches:
+            buf, off = utf8(batch.column(0))
+            for i, j in slices(off, 1 << 20):
+                h, begin = _shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _set_name(h, begin)), raw], names=["s", "t", "own"])
+
+    return run
+
+
+def _table_keys(batches):
+    """A row for each node and table: key, node, comp, f0, f1."""
+    r = np.random.default_rng(64)
+    at = [r.choice(64 * PRINTS, KEY_BITS, replace=False) for _ in range(TABLES)]
+    for batch in batches:
+        for i in range(0, len(batch), 2048):
+            part = batch.slice(i, 2048)
+            node, comp, *prints = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+            bits = np.unpackbits(np.stack(prints, 1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            key = np.concatenate([bits[:, own] @ (1 << np.arange(KEY_BITS)) + (k << KEY_BITS) for k, own in enumerate(at)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(x, TABLES)) for x in (node, comp, *prints[:2])]], names=["key", "node", "comp", "f0", "f1"])
+
+
+def _near_pairs(once: bool):
+    """Rows sorted by key, to pairs a, b of one key and two components whose fingerprints are near.
+
+    once: at most one pair for each row, with the closest row before it.
+    """
+
+    def settle(key, node, comp, f, g):
+        f, g = f.view(np.uint64), g.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        end = np.repeat(np.append(head[1:], len(key)), np.diff(np.append(head, len(key))))
+        mixed = np.minimum.reduceat(comp, head) < np.maximum.reduceat(comp, head)
+        left = np.flatnonzero(np.repeat(mixed, np.diff(np.append(head, len(key)))))
+        first = np.repeat(head, np.diff(np.append(head, len(key))))
+        d = 0
+        while len(left):
+            d += 1
+            left = left[left - d >= first[left]] if once else left[left + d < end[left]]
+            i, j = (left - d, left) if once else (left, left + d)
+            near = np.bitwise_count(f[i] ^ f[j]).astype(np.int16) + np.bitwise_count(g[i] ^ g[j]) <= FAR
+            near &= comp[i] != comp[j]
+            if near.any():
+                a, b = node[i[near]], node[j[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if once:
+                left = left[~near]
+
+    def run(batches):
+        held: list = []  # of a key whose rows may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held and held[-1][0][-1] == cols[0][0] == cols[0][-1]:
+                held.append(cols)
+                continue
+            if held:
+                cols = [np.concatenate(x) for x in zip(*held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield from settle(*[x[:last] for x in cols])
+            held = [[x[last:] for x in cols]]
+        if held:
+            yield from settle(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def _alike(batches):
+    """Of pairs with their sets (a, b, x, y), those whose Jaccard similarity is at least NEAR."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer() or b"", np.uint64) for v in (x, y))
+            both = 0
+            if min(len(x), len(y)) * NEAR[1] >= max(len(x), len(y)) * NEAR[0]:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both * NEAR[1] >= (len(x) + len(y) - both) * NEAR[0])
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, least: the smallest doc_id), one for each different set of shingles, and v, root of the nodes that are linked.
+
+    Candidates share a key in one of the tables and are near in 128 bits;
+    linked are those whose sets have a Jaccard similarity of 4/5 by all their
+    shingles. First each node meets one candidate for each table, then all
+    candidates of other components, so large groups don't meet pair by pair.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = [f"f{k}" for k in range(PRINTS)]
+    docs = docs.select("doc_id", "text")
+    named = docs.mapInArrow(_set_prints(shingle), f"doc_id {kind}, s long, t long, " + ", ".join(f"{c} long" for c in prints))
+    nodes = cut(named.groupBy("s", "t", *prints).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("s", "t")))
+
+    def pairs(comp: DataFrame, once: bool) -> DataFrame:
+        keys = comp.select("node", "comp", *prints).mapInArrow(_table_keys, "key long, node long, comp long, f0 long, f1 long")
+        return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_pairs(once), "a long, b long").distinct()
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        own = docs.join(nodes.join(ends, "node").select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+        sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own binary").select(F.xxhash64("s", "t").alias("node"), "own")
+        sets = cut(sets.dropDuplicates(["node"]))
+        with_a = found.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+        both = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        return cut(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+
+    tried = cut(pairs(nodes.withColumn("comp", F.col("node")), True))
+    links = confirmed(tried)
+    own = nodes.join(components(links), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node"))
+    rest = cut(pairs(own, False).join(tried, ["a", "b"], "left_anti"))
+    return nodes, components(links.union(confirmed(rest)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs with all their columns, of each group of near-duplicates the one with the smallest doc_id.
 
-    Five-word shingles; fingerprints within 5 of 64 bits (a similarity of
-    0.92), and within 12 of 64 bits by a second seed. Of repeated rows one
-    stays. Rows with a null doc_id take no part and stay.
+    Near-duplicates have a Jaccard similarity of at least 0.8 between their
+    sets of five-word shingles (words as in fingerprints()), or are linked by
+    others that have. Candidates come from SimHash tables, see jaccard_nodes().
+    Of repeated rows one stays. Rows with a null doc_id take no part and stay.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    stay = near_duplicates(named, shingle, radius, check).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    nodes, roots = jaccard_nodes(named, shingle)
+    stay = nodes.join(roots, F.col("node") == F.col("v"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
 
 

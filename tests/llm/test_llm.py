@@ -157,6 +157,36 @@ def test_simhash_empty_and_stage(spark, near_docs):
     assert None in ids and ids.count(10) == 1 and len([i for i in ids if i and 10 <= i < 90]) < 30 and set(range(100, 120)) <= set(ids)
 
 
+def jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_recall(spark):
+    r = random.Random(9)
+    rows, pairs = [], []
+    for k in range(600):  # a text and a copy with some words changed in a row or apart
+        own = [f"{k}w{r.randrange(10**6)}" for _ in range(r.choice([30, 60, 120, 400]))]
+        other = list(own)
+        for _ in range(r.randrange(1, max(2, len(own) // 40 + 1))):
+            other[r.randrange(len(own))] = f"{k}x{r.randrange(10**6)}"
+        if k % 2:
+            del other[len(own) - r.randrange(len(own) // 4) :]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        pairs.append((2 * k + 1, jaccard(rows[-2][1], rows[-1][1])))
+    kept = {x.doc_id for x in simhash.keep_one(docs_of(spark, rows)).collect()}
+    assert {2 * k for k in range(600)} <= kept
+    assert all(i in kept for i, j in pairs if j < 0.8)
+    for low, high, recall in ((0.8, 0.85, 0.95), (0.85, 0.9, 0.98), (0.9, 0.95, 0.98)):
+        own = [i for i, j in pairs if low <= j < high]
+        assert len(own) > 20 and sum(i not in kept for i in own) >= recall * len(own)
+
+
+def test_keep_one_group(spark, near_docs):
+    ids = [x.doc_id for x in simhash.keep_one(docs_of(spark, near_docs)).collect()]
+    assert [i for i in ids if i and 10 <= i < 90] == [10] and len([i for i in ids if i in (1, 2, 3)]) == 1 and len([i for i in ids if i in (4, 5)]) == 1
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.root for r in simhash.components(links).collect()}
