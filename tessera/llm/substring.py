@@ -9,10 +9,11 @@ and equal substrings have the same symbols inside, whatever stands around them.
 For each symbol the words that its being there depends on are kept exactly:
 its own and those of the neighbours that the rounds looked at. In a window, the
 longest symbol whose words all lie in the window is its anchor; it is at the
-same place in every occurrence. One row for each anchor, with 32 more hash bits of
+same place in every occurrence. One row for each anchor, with a 64-bit hash of
 each of its windows, is shuffled by the anchor's name. Names that one document
 has reveal nothing and end there; within the shared ones, windows of equal
-place and hash (64 bits of the name, 32 of the words) are repeats. Windows
+place and hash are repeats. Different windows may well share an anchor, so of
+these only the 64 bits of the words tell them apart. Windows
 without an anchor, such as those in long runs, are sent under their own hash.
 
 A task first compares the windows of its own texts and sends each different
@@ -100,9 +101,9 @@ def _least(rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows_of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """A binary array whose i-th value has the 4-byte values with rows_of == i (sorted)."""
+    """A binary array whose i-th value has the values with rows_of == i (sorted)."""
     off = np.zeros(n + 1, np.int32)
-    np.cumsum(np.bincount(rows_of, minlength=n) * 4, out=off[1:])
+    np.cumsum(np.bincount(rows_of, minlength=n) * values.itemsize, out=off[1:])
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
 
 
@@ -158,11 +159,11 @@ def _anchored(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, width: int, rou
         head[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1] + 1)
         at = np.flatnonzero(head)
         lead = w[at]
-        bits = (full[w] >> np.uint64(32)).astype("<u4")
+        bits = full[w].astype("<u8")
         yield _row(sym[a[at]], own[lead], pos[lead].astype(np.int32), (s[a[at]] - p[lead]).astype(np.int32), _packed(np.cumsum(head) - 1, bits, len(at)), False)
     w = live[~has]
     if len(w):
-        bits = (full[w] >> np.uint64(32)).astype("<u4")
+        bits = full[w].astype("<u8")
         yield _row(mix(full[w] + _K[3]), own[w], pos[w].astype(np.int32), np.full(len(w), width, np.int32), _packed(np.arange(len(w)), bits, len(w)), False)
 
 
@@ -192,7 +193,7 @@ def _send(width: int, rounds: int):
 
 def _repeats(batches):
     """Rows sorted by sym and doc, to documents with the starts of windows that a smaller document has."""
-    carry = None  # of the last name: sym, keys, smallest documents
+    carry = None  # of the last name: sym, places, hashes, smallest documents, -1 for each
     for batch in batches:
         if not len(batch):
             continue
@@ -206,8 +207,8 @@ def _repeats(batches):
         sym, doc, pos, delta = (t.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         wins = t.column(4)
         off = np.frombuffer(wins.buffers()[1], np.int32)[wins.offset : wins.offset + len(wins) + 1].astype(np.int64)
-        bits = np.frombuffer(wins.buffers()[2], "<u4", count=(off[-1] - off[0]) // 4, offset=off[0])
-        off = (off - off[0]) // 4
+        bits = np.frombuffer(wins.buffers()[2], "<u8", count=(off[-1] - off[0]) // 8, offset=off[0])
+        off = (off - off[0]) // 8
         head = np.concatenate(([True], sym[1:] != sym[:-1]))
         g = np.cumsum(head) - 1
         at = np.flatnonzero(head)
@@ -221,18 +222,19 @@ def _repeats(batches):
         begin = np.cumsum(n) - n
         j = np.arange(n.sum()) - np.repeat(begin, n)
         row = np.repeat(rows, n)
-        key = (g[row].astype(np.uint64) * np.uint64(4096) + (delta[row] - j + 2048).astype(np.uint64)) << np.uint64(32) | bits[off[row] + j].astype(np.uint64)
-        d, p = doc[row], pos[row] + j
+        # A window: the name's number and the place within it, and the hash of its words.
+        at = g[row] * 4096 + (delta[row] - j + 2048)
+        key, d, p = bits[off[row] + j], doc[row], pos[row] + j
         if carry is not None and carry[0] == sym[0]:
-            key, d, p = np.concatenate((carry[1], key)), np.concatenate((carry[2], d)), np.concatenate((np.full(len(carry[1]), -1), p))
-        order = np.lexsort((d, key))
-        k = key[order]
-        group = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            at, key, d, p = (np.concatenate(x) for x in zip(carry[1:], (at, key, d, p), strict=True))
+        order = np.lexsort((d, key, at))
+        k, o = key[order], at[order]
+        group = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]))))
         least = d[order][group]
         again = np.zeros(len(k), bool)
         again[order] = d[order] > np.repeat(least, np.diff(np.append(group, len(k))))
-        last = (k[group] >> np.uint64(44)) == np.uint64(g[-1])
-        carry = (sym[-1], k[group][last] & np.uint64((1 << 44) - 1), least[last])
+        last = o[group] >> 12 == g[-1]
+        carry = (sym[-1], o[group][last] & 4095, k[group][last], least[last], np.full(last.sum(), -1))
         again &= p >= 0
         if again.any():
             w = np.flatnonzero(again)

@@ -512,6 +512,25 @@ def test_substrings_empty(spark):
     assert out_of(substring.substring_dedup(docs_of(spark, [(1, "a b")]))) == [(1, 2, 0, "a b")]
 
 
+def test_windows_under_one_anchor(monkeypatch):
+    """Different windows round a shared phrase are no repeats, though half of the bits of their hashes agree."""
+    whole = substring.span_hashes
+    monkeypatch.setattr(substring, "span_hashes", lambda *x: whole(*x) & np.uint64(0xFFFFFFFF))
+    r = random.Random(3)
+    phrase = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"{d}a{r.random()}" for _ in range(40)] + phrase + [f"{d}b{r.random()}" for _ in range(40)]) for d in range(20)] * 2
+    sent = []
+    for d, t in enumerate(texts):
+        sent += substring._send(50, 5)([pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t])], names=["doc_id", "text"])])
+    rows = pa.Table.from_batches(sent).sort_by([("sym", "ascending"), ("doc", "ascending")])
+    for size in (100000, 7):
+        found = {}
+        for x in substring._repeats(rows.combine_chunks().to_batches(max_chunksize=size)):
+            for d, at in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                found.setdefault(d, set()).update(np.frombuffer(at, "<i4").tolist())
+        assert found == {d: set(range(71)) for d in range(20, 40)}
+
+
 def test_names_inside_equal_substrings():
     """A name whose words all lie in a shared piece is at the same place in both texts."""
     r = np.random.default_rng(4)
