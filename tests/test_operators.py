@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions import calculator, media
 from tessera.functions import text as T
 from tessera.functions import vector as V
@@ -100,6 +101,22 @@ def test_ivf_recall(spark, sf_dir):
     assert found / total >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_ann_ivf_recall(spark, size):
+    """The registered query, as it is, against the exact one."""
+    found, exact = ({(r.qid, r.id) for r in catalog.QUERIES[n](spark, f"/root/testdata/{size}").collect()} for n in ("ann_ivf", "knn_batch"))
+    print("recall", size, len(found & exact) / len(exact))
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_ivf_batch_is_ivf_search(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    c, index = search.ivf_index(e)
+    q = e.filter("vec_id = 7").select(F.col("vec_id").alias("qid"), "embedding")
+    want = [r.id for r in search.ivf_search(index, c, q.first().embedding, probe=3).collect()]
+    assert [r.id for r in search.ivf_search_batch(index, c, q, probe=3).orderBy("rank").collect()] == want
+
+
 def test_filters(spark):
     hits = spark.createDataFrame([(0, 0.3), (1, 0.7), (2, 0.9)], "rank int, score double")
     assert [r.score for r in filters.similarity_cutoff(hits, 0.5, 1).collect()] == [0.7]
