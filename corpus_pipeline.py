@@ -49,7 +49,7 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: The field and the fingerprints (XXH64) have no SQL; tests/llm compares run() with a brute-force version.
+#: The field and the fingerprints have no SQL; tests/llm tests the stages one by one, not run() as a whole.
 ORACLE_SQL = None
 
 
