@@ -41,10 +41,11 @@ def greedy(hits: DataFrame, query: list[str], id_col: str, words: str, threshold
     """For each query, rows in falling score whose word Jaccard with every kept row is below the threshold.
 
     Only the best `limit` results of a query are compared, as a result list is
-    what this is for; corpora are deduplicated elsewhere.
+    what this is for; those beyond pass on unchanged, compared with none.
     """
     w = Window.partitionBy(*query).orderBy(F.desc("score"), id_col)
-    top = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    rows = hits.withColumn("_r", F.row_number().over(w))
+    top, rest = rows.filter(F.col("_r") <= limit), rows.filter(F.col("_r") > limit).drop("_r")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r")
@@ -55,13 +56,17 @@ def greedy(hits: DataFrame, query: list[str], id_col: str, words: str, threshold
                 sets.append(own)
         return pdf.iloc[kept].drop(columns="_r")
 
-    return top.groupBy(*query).applyInPandas(pick, hits.schema)
+    return top.groupBy(*query).applyInPandas(pick, hits.schema).union(rest)
 
 
 def diversity(hits: DataFrame, query: list[str], id_col: str, words: str, threshold: float = 0.8, penalty: float = 0.5, limit: int = 1000) -> DataFrame:
-    """For each query, rows chosen one by one; a row's score falls by penalty * its largest Jaccard to chosen ones, if over the threshold."""
+    """For each query, rows chosen one by one; a row's score falls by penalty * its largest Jaccard to chosen ones, if over the threshold.
+
+    Rows beyond the best `limit` of a query pass on unchanged.
+    """
     w = Window.partitionBy(*query).orderBy(F.desc("score"), id_col)
-    top = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    rows = hits.withColumn("_r", F.row_number().over(w))
+    top, rest = rows.filter(F.col("_r") <= limit), rows.filter(F.col("_r") > limit).drop("_r")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r").reset_index(drop=True)
@@ -74,7 +79,7 @@ def diversity(hits: DataFrame, query: list[str], id_col: str, words: str, thresh
             chosen.append(i)
         return pdf.assign(score=scores).drop(columns="_r").sort_values("score", ascending=False, kind="stable")
 
-    return top.groupBy(*query).applyInPandas(pick, hits.schema)
+    return top.groupBy(*query).applyInPandas(pick, hits.schema).union(rest)
 
 
 def jaccard_to(hits: DataFrame, query: list[str], text: str = "text") -> DataFrame:

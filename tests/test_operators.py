@@ -117,6 +117,13 @@ def test_ivf_batch_is_ivf_search(spark, sf_dir):
     assert [r.id for r in search.ivf_search_batch(index, c, q, probe=3).orderBy("rank").collect()] == want
 
 
+def test_dedup_beyond_limit(spark):
+    hits = spark.createDataFrame([(0, i, 1 - i / 10, ["a"] if i < 2 else [f"w{i}"]) for i in range(6)], "qid int, doc_id long, score double, words array<string>")
+    assert sorted(r.doc_id for r in dedup.greedy(hits, ["qid"], "doc_id", "words", limit=3).collect()) == [0, 2, 3, 4, 5]
+    got = {r.doc_id: round(r.score, 6) for r in dedup.diversity(hits, ["qid"], "doc_id", "words", limit=3).collect()}
+    assert got == {0: 1.0, 1: 0.4, 2: 0.8, 3: 0.7, 4: 0.6, 5: 0.5}
+
+
 def test_filters(spark):
     hits = spark.createDataFrame([(0, 0.3), (1, 0.7), (2, 0.9)], "rank int, score double")
     assert [r.score for r in filters.similarity_cutoff(hits, 0.5, 1).collect()] == [0.7]
