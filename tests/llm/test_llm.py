@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, lines, lm, media, mixing, quality, queries, sharding, simhash, substring, tokenfile
 from tessera.llm.common import Lookup, mix, utf8, word_count, word_hashes, words
 
-EXTRA = ["n_words", "score", "shard", "h", "size", "__x"]
+EXTRA = ["n_words", "score", "h", "size", "digest", "key", "copies", "part", "range", "kept", "at", "__x", "__text", "__size", "__id", "__key", "__digest", "__score", "__decon", "__copy", "__source", "__last"]
 
 
 def docs_of(spark, rows, clash=True):
@@ -393,6 +393,61 @@ def test_forward_backward():
             assert (z_of(t) - z_of(trans)) / eps == pytest.approx(both[i, j], abs=1e-3)
 
 
+def test_score_is_brute_force():
+    """The whole score of short texts: every labelling of the lines by hand, then length weights, then the curve."""
+    r = np.random.default_rng(8)
+    texts = ["one line", "", None, "Two lines.\nand THIS!!", "a\n\nb longer line here\nb longer line here\n*** $$$", "\n" * 6, "é " * 300 + "\nq"]
+    d = 3 * quality.WIDTH
+    field = quality.Field(r.normal(size=d), 1 + r.random(d), r.normal(size=d) / 4, 0.3, r.normal(size=(2, 2)), r.normal(size=2), (1.7, -0.4))
+    want = []
+    for t in texts:
+        x, chars, _ = quality.line_features(*utf8(pa.array([t], pa.string())))
+        emit = [sum((a - m) / s * w for a, m, s, w in zip(row, field.mean, field.dev, field.w)) + field.bias for row in x]
+        good, _ = brute_marginals(np.clip(emit, -30, 30), field.trans, field.begin)
+        weight = [len(line) + 1 for line in (t or "").split("\n")]
+        assert [c + 1 for c in chars] == weight
+        p = min(max(sum(g * w for g, w in zip(good, weight)) / sum(weight), 1e-6), 1 - 1e-6)
+        want.append(1 / (1 + np.exp(-(1.7 * np.log(p / (1 - p)) - 0.4))))
+    assert field.scores(*quality.line_features(*utf8(pa.array(texts, pa.string())))) == pytest.approx(want, rel=1e-5)
+
+
+def test_constraint_on_line_labels():
+    r = np.random.default_rng(4)
+    n = np.array([1, 5, 3, 8, 2])
+    emit, chars, label = r.normal(size=19) * 2, r.integers(0, 80, 19).astype(float), np.array([1, 0, 1, 0, 0])
+    trans, begin = np.array([[0.5, -0.2], [0.1, 0.4]]), np.zeros(2)
+    before = quality.pooled(quality.forward_backward(emit, trans, begin, n)[0], chars, n)
+    after = quality.pooled(quality.constrained(emit, trans, begin, chars, n, label)[0], chars, n)
+    for was, now, y in zip(before, after, label):
+        own = was if y else 1 - was
+        assert (now if y else 1 - now) >= 0.6 - 1e-3 and (own < 0.6 or now == pytest.approx(was))
+
+
+def test_lines_get_labels(spark):
+    """Labels are the lines': bad lines that are planted among good ones are found, and many documents have both."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    field = quality.fit(docs, labels, quality.held_out_third())
+    own = {r.doc_id: r.quality for r in labels.collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    longs = {q: [[x for x in text[d].split("\n") if len(x) > 60][:4] for d in sorted(own) if own[d] == q and zlib.crc32(str(d).encode()) % 3 == 1] for q in (0, 1)}
+    mixed = [(k, "\n".join([*a, *b]), len(a)) for k, (a, b) in enumerate(zip(*([x for x in longs[q] if x] for q in (1, 0))))]
+    got = {r.doc_id: r.good for r in quality.line_labels(docs_of(spark, [(k, t) for k, t, _ in mixed]), field).collect()}
+    assert len(mixed) >= 8
+    assert np.mean([p > 0.5 for k, _, n in mixed for p in got[k][:n]]) > 0.65 and np.mean([p < 0.5 for k, _, n in mixed for p in got[k][n:]]) > 0.65
+    assert np.mean([max(got[k]) > 0.5 > min(got[k]) for k, *_ in mixed]) > 0.5
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, *a: seen.append(len(x)) or train(x, *a))
+    docs = docs_of(spark, [(i, "a line.\n" * (5000 if i == 3 else 9)) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    quality.fit(docs, labels, F.lit(False), 6000, 100)
+    assert seen == [100]
+
+
 def test_line_features():
     buf, off = utf8(pa.array(["ab cd.\n\nAB!!", "", "x"]))
     x, chars, n = quality.line_features(buf, off)
@@ -423,7 +478,11 @@ def test_quality_odd_rows(spark, real):
     got = quality.quality_scores(d, odd).collect()
     assert len(got) == 5 and len({r.score for r in got if r.doc_id == 3}) == 1 and not any(np.isnan(r.score) for r in got)
     assert quality.quality_scores(empty(spark), odd).count() == 0
-    assert quality.keep_good(d, none).columns == d.columns
+    kept = quality.keep_good(d, none)
+    assert kept.columns == d.columns and kept.count() == 5
+    assert quality.keep_good(empty(spark), odd).count() == 0
+    lines_of = {r.doc_id: len(r.good) for r in quality.line_labels(d, quality.fit(d, odd, F.lit(False))).collect()}
+    assert lines_of == {None: 1, 1: 1, 2: 3, 3: 3001}
 
 
 # 7. LM.
