@@ -2,16 +2,20 @@
 
 parse_sequence() turns a page into one ordered list of items, each a text or a
 reference to a media payload with its caption. Payloads live in a store that is
-addressed by digest; a join on the digest resolves references, and since each
+addressed by digest; resolve() joins references to it by digest, and since each
 item carries its position, texts, media and captions stay aligned.
 
 The store keeps payloads losslessly as PNG images of 8-bit RGB samples, 64
-pixels (192 bytes) to a row. What is asked of a payload (features, digests) is
-computed where its stored bytes are read, so only narrow rows meet the
-references; resolve() joins the bytes themselves for those who want them.
-Equal payloads have equal digests: the narrow side of the join is one row for
-each digest, made by partial sums, and a payload that a third of all documents
-refer to costs one row for each task.
+pixels (192 bytes) to a row, with the length before padding in a text chunk.
+What is asked of a payload (features, digests) is computed where its stored
+bytes are read, so only narrow rows meet the references; resolve() takes the
+bytes themselves just as well. Catalyst drops an item's text where a query
+doesn't ask for it, so texts don't travel to the store's rows.
+
+Equal payloads have equal digests: the store's side of the join is one row for
+each digest, made by partial sums, and is written before the join, so that
+adaptive execution can split a digest to which a third of all documents refer
+(it splits only what comes straight from two exchanges).
 """
 
 from __future__ import annotations
@@ -46,13 +50,14 @@ def pad(data: bytes) -> bytes:
     return data + b" " * ((-len(data)) % ROW or (0 if data else ROW))
 
 
-def write_png(payload: bytes, level: int = 1) -> bytes:
-    """A PNG of 8-bit RGB samples whose bytes are the payload; its length is a positive multiple of ROW."""
+def write_png(payload: bytes, length: int | None = None, level: int = 1) -> bytes:
+    """A PNG of 8-bit RGB samples whose bytes are the payload (a positive multiple of ROW), and how many of them count."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # filter 0 before each row
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", ROW // 3, len(rows), 8, 2, 0, 0, 0)
-    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+    note = b"" if length is None else _chunk(b"tEXt", b"Length\0%d" % length)
+    return _SIGN + _chunk(b"IHDR", head) + note + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def read_png(data: bytes) -> bytes:
@@ -96,6 +101,12 @@ def read_png(data: bytes) -> bytes:
     return out.astype(np.uint8).tobytes()
 
 
+def read_length(data: bytes) -> int | None:
+    """The length that write_png() has noted."""
+    at = data.find(b"tEXtLength\0", 0, 64)
+    return int(data[at + 11 : at + struct.unpack_from(">I", data, at - 4)[0] + 4]) if at > 0 else None
+
+
 def features(payload: bytes) -> str:
     """Of the samples read back: size in pixels, mean and deviation of each channel, entropy, and a 64-bit average hash."""
     x = np.frombuffer(payload, np.uint8)
@@ -192,7 +203,7 @@ _ITEM_SQL = "array<struct<pos: int, text: string, media: string, caption: string
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id and `items`, the ordered sequence of each page; null html gives no items."""
+    """id and `items`, the ordered sequence of each page (pos, text, media, caption); null html gives no items."""
 
     def run(batches):
         for batch in batches:
@@ -204,41 +215,68 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def resolve(items: DataFrame, store: DataFrame, columns: list[str]) -> DataFrame:
-    """Sequences (id, items) with what `store` (digest, columns) has of each reference `sha256:<digest>`.
-
-    Returns id and items with a struct `found`, null for texts and for
-    references that the store lacks; positions and captions are untouched.
-    Store rows of one digest are the same payload: one of them is taken. An id
-    names one page: sequences of equal ids are merged by position.
+    """The items of all sequences (id, items), one row each, with what `store` (digest, columns) has of their references.
+
+    Returns id, pos, text, media, caption and a struct `found`: null for texts
+    and other references than `sha256:<digest>`, all null inside where the
+    store lacks the digest. Positions and captions are untouched; a sequence
+    without items gives no row, an empty table none. Store rows of one digest
+    are the same payload: one of them is taken. Rows with one id are kept as
+    they are, also if the id is null.
     """
     one = store.groupBy("digest").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
-    flat = items.select("id", F.posexplode_outer("items").alias("p", "item"))
-    flat = flat.withColumn("digest", F.regexp_extract(F.col("item.media"), "^sha256:([0-9a-f]{64})$", 1))
+    one = cut(one.select("digest", F.struct(*columns).alias("of")))
+    flat = items.select("id", F.explode("items").alias("item")).select("id", "item.pos", "item.text", "item.media", "item.caption")
+    flat = flat.withColumn("digest", F.regexp_extract(F.coalesce("media", F.lit("")), "^sha256:([0-9a-f]{64})$", 1))
     got = flat.join(one, "digest", "left")
-    found = F.when(F.col("digest") != "", F.struct(*columns))
-    item = F.struct(F.col("item.pos").alias("pos"), F.col("item.text").alias("text"), F.col("item.media").alias("media"), F.col("item.caption").alias("caption"), found.alias("found"))
-    return got.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item)), lambda a, b: a["pos"] - b["pos"]).alias("items"))
+    lacks = F.struct(*[F.lit(None).cast(store.schema[c].dataType).alias(c) for c in columns])
+    return got.select("id", "pos", "text", "media", "caption", F.when(F.col("digest") != "", F.coalesce("of", lacks)).alias("found"))
+
+
+def interleaved(resolved: DataFrame) -> DataFrame:
+    """resolve()'s rows gathered again: id and items (pos, text, media, caption, found) by position; one sequence has one id."""
+    item = F.struct("pos", "text", "media", "caption", "found")
+    return resolved.groupBy("id").agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("items"))
 
 
-def _page(digest: str, n: int) -> str:
-    return f'<article><p>{n} bytes of text, kept as an image.</p><figure><img src="sha256:{digest}"><figcaption>{n} bytes</figcaption></figure></article>'
+def _digest(text):
+    """Names a payload by the text that it holds."""
+    return F.sha2(text, 256)
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """doc_id and `html`: the text's lines as paragraphs and, after the first, the whole text as a figure.
+
+    docs: doc_id, text; other columns are ignored. Null is an empty text. Signs
+    that mean something in HTML are escaped, so any text is kept as it is, but
+    for white space, which a page collapses.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    safe = F.regexp_replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), "\\n+", "</p><p>")
+    figure = F.concat(F.lit('<figure><img src="sha256:'), _digest(text), F.lit('"><figcaption>The text above and below, as samples.</figcaption></figure>'))
+    return docs.select("doc_id", _page(safe, figure).alias("html"))
+
+
+def _page(safe, figure):
+    """An article whose figure stands after the first paragraph."""
+    first = F.substring_index(safe, "</p><p>", 1)
+    rest = F.substr(safe, F.char_length(first) + 1)
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), F.regexp_replace(rest, "^</p><p>", ""), F.lit("</p></article>"))
 
 
 def _store(batches):
-    """Each document's page and the stored form of its payload."""
+    """The stored form of each text's payload."""
     for batch in batches:
         buf, off = utf8(batch.column(1))
         raw = buf.tobytes()
         for i in range(0, len(off) - 1, 512):
-            html, digest, media = [], [], []
             own = range(i, min(i + 512, len(off) - 1))
-            for k in own:
-                text = raw[off[k] : off[k + 1]]
-                payload = pad(text)
-                digest.append(hashlib.sha256(b"%d:" % len(text) + payload).hexdigest())
-                html.append(_page(digest[-1], len(text)))
-                media.append(write_png(payload))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(html), pa.array(digest), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
+            media = [write_png(pad(raw[off[k] : off[k + 1]]), int(off[k + 1] - off[k])) for k in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(media, pa.binary())], names=["digest", "media"])
+
+
+_READ = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+FOUND = _READ.names[1:]
 
 
 def _read(batches):
@@ -247,35 +285,37 @@ def _read(batches):
         rows = []
         for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             p = read_png(media)
-            rows.append({"digest": digest, "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": features(p)})
-        kind = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-        yield pa.RecordBatch.from_pylist(rows, kind)
-
-
-FOUND = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            rows.append({"digest": digest, "n_bytes": read_length(media), "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": features(p)})
+        yield pa.RecordBatch.from_pylist(rows, _READ)
 
 
-def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages (doc_id, html, digest) that refer to each text as a medium, and the store (digest, media).
+def text_store(docs: DataFrame) -> DataFrame:
+    """digest and media: the payload of every text, written to the shared folder in its stored form.
 
-    docs: doc_id, text; other columns are ignored. A payload is the UTF-8 text
-    (null: empty) with spaces up to a positive multiple of ROW bytes. Both
-    come from one table in the shared folder.
+    docs: text; other columns are ignored. A payload is the UTF-8 text (null:
+    empty) with spaces up to a positive multiple of ROW bytes. Repeated rows
+    are stored one by one; a very long text is one medium. An empty table
+    gives an empty store.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    both = cut(docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, html string, digest string, media binary"))
-    return both.select("doc_id", "html"), both.select("digest", "media")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return cut(docs.select(_digest(text).alias("digest"), text.alias("text")).mapInArrow(_store, "digest string, media binary"))
 
 
 def read_store(store: DataFrame) -> DataFrame:
     """digest and FOUND of every stored medium, from its bytes."""
-    return store.select("digest", "media").mapInArrow(_read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return store.select("digest", "media").mapInArrow(_read, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """doc_id and FOUND of every document, by way of its page's sequence and the store.
+
+    docs: doc_id, text; other columns are ignored. Null and empty texts have a
+    payload of one row of spaces. Equal texts have equal values; repeated rows
+    and null doc_ids have a row each. An empty table gives an empty table.
+    """
+    items = resolve(sequences(text_pages(docs), "doc_id"), read_store(text_store(docs)), FOUND)
+    return items.filter("media is not null").select(F.col("id").alias("doc_id"), "found.*")
 
 
 def op4(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pages, store = text_media(docs)
-    refs = sequences(pages, "doc_id").select(F.col("id").alias("doc_id"), F.explode("items").alias("item")).filter("item.media is not null")
-    refs = refs.select("doc_id", F.regexp_extract("item.media", "^sha256:([0-9a-f]{64})$", 1).alias("digest"), F.regexp_extract("item.caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes"))
-    one = read_store(store).groupBy("digest").agg(*[F.min(c).alias(c) for c in FOUND])
-    return refs.join(one, "digest").select("doc_id", "n_bytes", *FOUND)
+    return text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -288,27 +288,83 @@ def test_sequences_resolve(spark):
     d = hashlib.sha256(b"pic").hexdigest()
     pages = spark.createDataFrame([(1, f"<p>x</p><img src='sha256:{d}' alt='c'><p>y</p><img src='http://z/z.png'>"), (2, None), (3, f"<img src='sha256:{'0' * 64}'>")], "page_id long, html string")
     store = spark.createDataFrame([(d, base64.b64decode("AAEC"))] * 3, "digest string, media binary")
-    got = {r.id: r["items"] for r in media.resolve(media.sequences(pages), store, ["media"]).collect()}
+    rows = media.resolve(media.sequences(pages), store, ["media"])
+    got = {r.id: r["items"] for r in media.interleaved(rows).collect()}
     assert [(i.pos, i.text, i.caption, i.found and i.found.media and bytes(i.found.media)) for i in got[1]] == [(0, "x", None, None), (1, None, "c", b"\x00\x01\x02"), (2, "y", None, None), (3, None, None, None)]
-    assert got[2] == [] and got[3][0].found.media is None
+    assert 2 not in got and got[3][0].found.media is None
+    assert media.resolve(media.sequences(pages.limit(0)), store.limit(0), ["media"]).count() == 0
+
+
+def test_pages_hold_the_text(spark):
+    """A document's sequence is its text, line by line, with the figure after the first."""
+    texts = ["one\ntwo & three <b>not bold</b>\n\nfour", "", None, "single", "\nled by a feed", "a &amp; b &lt; <!-- c --> <script>d", "</p><p>\n'\"\x00 é"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r.id: r["items"] for r in media.sequences(media.text_pages(docs_of(spark, rows)), "doc_id").collect()}
+    for k, t in rows:
+        items, raw = got[k], (t or "")
+        words = [" ".join(x.split()) for x in raw.split("\n")]
+        assert [i.text for i in items if i.text] == [w for w in words if w]
+        where = [i.pos for i in items if i.media]
+        assert where == [1 if words[0] else 0] and items[where[0]].media == "sha256:" + hashlib.sha256(raw.encode()).hexdigest()
+        assert items[where[0]].caption and [i.pos for i in items] == list(range(len(items)))
+
+
+def plain_png(data):
+    """The samples and text chunks of a PNG without row filters, by another reader than the operator's."""
+    at, parts = 8, {}
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        parts.setdefault(data[at + 4 : at + 8], []).append(data[at + 8 : at + 8 + n])
+        at += 12 + n
+    width, height = (int.from_bytes(parts[b"IHDR"][0][i : i + 4], "big") for i in (0, 4))
+    raw = zlib.decompress(b"".join(parts[b"IDAT"]))
+    assert len(raw) == height * (3 * width + 1) and all(raw[r * (3 * width + 1)] == 0 for r in range(height))
+    return b"".join(raw[r * (3 * width + 1) + 1 : (r + 1) * (3 * width + 1)] for r in range(height)), parts.get(b"tEXt"), (width, height)
+
+
+def plain_feature(p):
+    """The feature string by plain arithmetic."""
+    import json
+    import math
+    from collections import Counter
+
+    mean = [sum(p[c::3]) / len(p[c::3]) for c in range(3)]
+    std = [math.sqrt(sum((x - m) ** 2 for x in p[c::3]) / len(p[c::3])) for c, m in enumerate(mean)]
+    entropy = -sum(n / len(p) * math.log2(n / len(p)) for n in Counter(p).values())
+    q, r = divmod(len(p), 64)
+    cells, at = [], 0
+    for i in range(64):
+        n = q + (i < r)
+        cells.append(sum(p[at : at + n]) / n)
+        at += n
+    bits = sum(1 << (63 - i) for i, c in enumerate(cells) if c > sum(cells) / 64)
+    return json.loads(json.dumps({"w": 64, "h": len(p) // 192, "mean": mean, "std": std, "entropy": entropy, "ahash": f"{bits:016x}"}))
 
 
 def test_media_query(spark, sf_dir, real):
+    import json
+
     got = {r.doc_id: r for r in media.op4(spark, sf_dir).collect()}
+    stored = {r.digest: bytes(r.media) for r in media.text_store(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     assert len(got) == len(real)
     for d, t in real:
-        raw = (t or "").encode()
-        p, r = media.pad(raw), got[d]
-        png = media.write_png(p)
+        raw, r = (t or "").encode(), got[d]
+        p = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), hashlib.sha256(png).hexdigest(), media.features(p))
+        own = stored[hashlib.sha256(raw).hexdigest()]
+        assert plain_png(own) == (p, [b"Length\0%d" % len(raw)], (64, len(p) // 192))
+        assert (r.media_bytes, r.media_sha256) == (len(own), hashlib.sha256(own).hexdigest())
+        want, have = plain_feature(p), json.loads(r.feature)
+        assert all(have[k] == want[k] for k in ("w", "h")) and have["entropy"] == pytest.approx(want["entropy"], abs=1e-4)
+        assert have["mean"] == pytest.approx(want["mean"], abs=1e-4) and have["std"] == pytest.approx(want["std"], abs=1e-4)
+        assert (int(have["ahash"], 16) ^ int(want["ahash"], 16)).bit_count() <= 1  # a cell that equals the mean, by rounding
 
 
 def test_media_odd_rows(spark):
-    pages, store = media.text_media(docs_of(spark, [(None, None), (1, ""), (2, "a"), (2, "a"), (3, "z" * 200_000)]))
-    assert media.read_store(store).count() == 5 and media.sequences(pages, "doc_id").count() == 5
-    pages, store = media.text_media(empty(spark))
-    assert media.read_store(store).count() == 0
+    rows = [(None, None), (1, ""), (2, "a"), (2, "a"), (3, "z" * 200_000 + "\n<>&")]
+    got = sorted(media.text_media(docs_of(spark, rows)).select("doc_id", "n_bytes", "payload_bytes").collect(), key=repr)
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 0, 192), (1, 0, 192), (2, 1, 192), (2, 1, 192), (3, 200_004, 200_064)], key=repr)
+    assert media.text_media(empty(spark)).count() == 0 and media.text_store(empty(spark)).count() == 0
 
 
 # 5. Token files.
