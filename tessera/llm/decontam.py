@@ -5,158 +5,283 @@ with a space before, between and after its words. Documents get the same form
 and are searched for all windows at once. A table indexed by the hash of the
 last bytes of the current block says how far the search may jump: a block that
 ends in no window skips all positions that a window could end at. Where the
-jump is 0, buckets by the same suffix hash give the few windows that can end
-here, and bytes are compared directly. Many stretches of text are searched in
-lockstep by numpy, so the loop runs per jump, not per byte or document.
-
-Test items are read by the driver in blocks of bounded size; each block is one
-pass over all documents. One pass needs no shuffle at all.
+jump is 0, buckets by the same suffix hash hold the windows that can end here;
+a bucket is sorted by a hash of the windows' common least length, so only those
+that begin like the text are left, and their bytes are compared directly. Many
+stretches of text are searched in lockstep by numpy, so the loop runs per jump,
+not per byte or document.
+
+A window is a place in the folded text of the test items, not a string of its
+own, and all tables are arrays. Test items are read by the driver in blocks of
+bounded size, an item larger than a block in pieces that overlap by 9 words.
+All blocks are sent out, and one pass over the documents meets them all: a task
+holds one block's tables at a time, and nothing is shuffled or written.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices, utf8
+from tessera.llm.common import BYTE_VALUES, _powers, free_name, kept_in_worker, mix, slices, utf8
 
 #: Bytes that separate words become a space, A-Z become a-z.
 FOLD = bytes(32 if i < 0x30 or 0x3A <= i <= 0x40 or 0x5B <= i <= 0x60 or 0x7B <= i <= 0x7F else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 WINDOW = 10
-#: Bytes of test text for each pass; the tables are about six times as large.
-BLOCK_BYTES = 8 << 20
+#: Bytes of test text for each block. Of 8 MB (windows of 10 words of 6 letters) the tables took 0.6 GB while they were made and 80 MB when kept.
+BLOCK_BYTES = 4 << 20
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _LANE = 2048  # bytes of text for each stretch
 #: Windows of fewer bytes are searched with the tables of their own length class.
 CLASSES = (0, 4, 8, 16, 32, 64)
 _SPAN = {0: 2, 4: 4, 8: 6, 16: 8, 32: 8, 64: 8}
+_BASE = 0x9FB21C651E98DF25
 
 
-def windows(text: str | None, n: int = WINDOW) -> set[bytes]:
-    """The windows of a test item, each with a space at both ends."""
-    w = (text or "").encode().translate(FOLD).split()
-    return {b" " + b" ".join(w[i : i + n]) + b" " for i in range(max(1, len(w) - n + 1))} if w else set()
+class Sums:
+    """Prefix sums of a text's polynomial hash, so that any stretch of it is hashed at once."""
+
+    def __init__(self, raw: np.ndarray):
+        self.up, self.down = _powers(_BASE, len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[raw] * self.up[: len(raw)], out=self.sums[1:])
+
+    def __call__(self, at: np.ndarray, n) -> np.ndarray:
+        return mix((self.sums[at + n] - self.sums[at]) * self.down[at] + np.asarray(n).astype(np.uint64))
+
+
+def _same(x: np.ndarray, at: np.ndarray, y: np.ndarray, to: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether x[at:at+n] equals y[to:to+n], byte for byte."""
+    out = np.ones(len(at), bool)
+    for i in range(0, len(at), 4096):
+        k = slice(i, i + 4096)
+        own = np.repeat(np.arange(len(n[k])), n[k])
+        step = np.arange(len(own)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+        out[i + own[x[at[k][own] + step] != y[to[k][own] + step]]] = False
+    return out
 
 
 class Tables:
-    """Shift table, buckets and windows of one length class (least length m)."""
+    """Shift table and buckets of one length class: windows are places (start, length) in `text`."""
 
-    def __init__(self, patterns: list[bytes], span: int):
-        self.patterns, self.span = patterns, span
-        self.m = min(map(len, patterns))
+    def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, span: int):
+        self.span, self.m = span, int(length.min())
         width = self.m - span + 1  # positions of a block in the first m bytes
-        self.bits = max(10, min(22, (8 * len(patterns) * width).bit_length()))
-        heads = np.frombuffer(b"".join(p[: self.m] for p in patterns), np.uint8).reshape(len(patterns), self.m)
+        self.bits = max(10, min(22, (8 * len(start) * width).bit_length()))
         self.shift = np.full(1 << self.bits, width, np.uint8 if width < 256 else np.uint16)
-        self.bucket: dict[int, list[int]] = defaultdict(list)
+        raw = np.ndarray((len(text),), "<u8", np.concatenate((text, np.zeros(8, np.uint8))), strides=(1,))
+        last = None
         for i in range(width):
-            h = self.hash(np.ascontiguousarray(heads[:, i : i + span]))
-            np.minimum.at(self.shift, h, width - 1 - i)
-            if i == width - 1:
-                for k, x in enumerate(h.tolist()):
-                    self.bucket[x].append(k)
-        self.bucket = dict(self.bucket)
+            last = self.hash(raw[start + i])
+            np.minimum.at(self.shift, last, width - 1 - i)
+        head = Sums(text)(start, self.m)
+        order = np.lexsort((head, last))
+        self.start, self.length, self.head = start[order].astype(np.int32), length[order].astype(np.int32), head[order]
+        self.bucket = np.searchsorted(last[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.order = order
 
     def hash(self, blocks: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(blocks), 8), np.uint8)
-        wide[:, : self.span] = blocks
-        return ((wide.view("<u8")[:, 0] * _TURN) >> np.uint64(64 - self.bits)).astype(np.int64)
+        keep = np.uint64((1 << (8 * self.span)) - 1)
+        return (((blocks & keep) * _TURN) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, text: bytes) -> list[tuple[int, int]]:
-        """(start, pattern) of every occurrence."""
-        n, m, span = len(text), self.m, self.span
+    def find(self, raw: np.ndarray, sums: Sums, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all occurrences in raw, and the windows (their places in the tables)."""
+        n, m = len(raw), self.m
+        found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if n < m:
-            return []
-        padded = text + bytes(8)
-        raw = np.ndarray((n,), "<u8", padded, strides=(1,))
-        keep = np.uint64((1 << (8 * span)) - 1)
-        out: list[tuple[int, int]] = []
+            return found_at[0], found[0]
+        wide = np.ndarray((n,), "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
         at = np.arange(0, n - m + 1, _LANE, dtype=np.int64)  # where a window would begin
         stop = np.minimum(at + _LANE, n - m + 1)
-        turn, bits, shift = _TURN, np.uint64(64 - self.bits), self.shift
+        shift, hits, size = self.shift, [], 0
         while len(at):
-            h = ((raw[at + (m - span)] & keep) * turn) >> bits
+            h = self.hash(wide[at + (m - self.span)])
             s = shift[h]
-            hits = np.flatnonzero(s == 0)
-            for i in hits.tolist():
-                p = int(at[i])
-                for k in self.bucket.get(int(h[i]), ()):
-                    if text.startswith(self.patterns[k], p):
-                        out.append((p, k))
+            own = np.flatnonzero(s == 0)
+            if len(own):
+                hits.append((at[own], h[own]))
+                size += len(own)
             at = at + np.maximum(s, 1)
             live = at < stop
             if not live.all():
                 at, stop = at[live], stop[live]
-        return out
+            if hits and (size > 1 << 16 or not len(at)):
+                p, k = self._compare(*map(np.concatenate, zip(*hits, strict=True)), n, sums, raw, text)
+                found_at.append(p)
+                found.append(k)
+                hits, size = [], 0
+        return np.concatenate(found_at), np.concatenate(found)
+
+    def _compare(self, at, h, n, sums, raw, text):
+        """Of the windows in the buckets, those that are in the text here."""
+        low, high = self.bucket[h].astype(np.int64), self.bucket[h + 1].astype(np.int64)
+        own = np.flatnonzero(low < high)
+        at, low, high = at[own], low[own], high[own]
+        head = sums(at, self.m)
+        ends = []
+        for right in (False, True):  # binary search in all buckets at once
+            a, b = low.copy(), high.copy()
+            while (a < b).any():
+                mid = (a + b) // 2
+                here = self.head[np.minimum(mid, len(self.head) - 1)]
+                up = (a < b) & ((here <= head) if right else (here < head))
+                a, b = np.where(up, mid + 1, a), np.where((a < b) & ~up, mid, b)
+            ends.append(a)
+        count = ends[1] - ends[0]
+        p = np.repeat(at, count)
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[0], count)
+        length = self.length[k].astype(np.int64)
+        fit = np.flatnonzero(p + length <= n)
+        p, k, length = p[fit], k[fit], length[fit]
+        same = _same(raw, p, text, self.start[k].astype(np.int64), length)
+        return p[same], k[same]
+
+
+def spaced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words with one space before, between and after them, one text after the other, and where each begins (n+1)."""
+    parts = [b" " + b" ".join(t.split()) + b" " for t in texts]
+    at = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([*map(len, parts)], out=at[1:])
+    return np.frombuffer(b"".join(parts), np.uint8), at
+
+
+def _filled(kind, state: dict):
+    """An object of a class from its attributes."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
 
 
 class Searcher:
-    def __init__(self, items: list[tuple[str, str | None]]):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            for w in windows(text):
-                owners[w].add(item)
+    """The tables of a block of test items (item, folded text), and which items have each window."""
+
+    def __init__(self, items: list[tuple[str, bytes]]):
+        self.text, begin = spaced([t for _, t in items])
+        names = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(names)}
+        self.names = names
+        starts, ends, owner = [], [], []
+        for k, (item, _) in enumerate(items):
+            gap = np.flatnonzero(self.text[begin[k] : begin[k + 1]] == 32) + begin[k]  # one more than words; two without words
+            n = len(gap) - 1 if begin[k + 1] - begin[k] > 2 else 0
+            if n:
+                m = max(1, n - WINDOW + 1)
+                starts.append(gap[:m])
+                ends.append(gap[np.minimum(np.arange(m) + WINDOW, n)] + 1)
+                owner.append(np.full(m, number[item]))
         self.classes = []
+        if not starts:
+            return
+        start, end, owner = map(np.concatenate, (starts, ends, owner))
+        length = end - start
+        same = Sums(self.text)(start, length)
+        # Equal windows once, with all their items; equal by bytes: the hash only brings them together.
+        order = np.lexsort((owner, start, same))
+        start, length, owner, same = start[order], length[order], owner[order], same[order]
+        twin = np.zeros(len(start), bool)
+        k = np.flatnonzero((same[1:] == same[:-1]) & (length[1:] == length[:-1]))
+        twin[k + 1] = _same(self.text, start[k], self.text, start[k + 1], length[k])
+        first = np.flatnonzero(~twin)
+        where = np.append(first, len(start))
         for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 60), strict=True):
-            if own := sorted(w for w in owners if low <= len(w) < high):
-                self.classes.append((Tables(own, _SPAN[low]), [sorted(owners[w]) for w in own]))
-
-    def spans(self, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
-        """(start, end) of every occurrence in the spaced text, and the items."""
-        found, items = [], set()
-        for tables, owners in self.classes:
-            for p, k in tables.find(text):
-                found.append((p, p + len(tables.patterns[k])))
-                items.update(owners[k])
-        return found, items
-
-
-def _search(searcher, name: str, keep: list[str]):
-    """Adds to each row, or carries on, a struct `name` of word count, hit word intervals and item ids."""
+            own = np.flatnonzero((length[first] >= low) & (length[first] < high))
+            if len(own):
+                t = Tables(self.text, start[first[own]], length[first[own]], _SPAN[low])
+                w = own[t.order]
+                t.order = None
+                n = where[w + 1] - where[w]
+                t.owners_at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                rows = np.arange(n.sum()) - np.repeat(t.owners_at[:-1], n) + np.repeat(where[w], n)
+                t.owners = owner[rows].astype(np.int32)
+                self.classes.append(t)
+
+    def find(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all occurrences in the spaced text, and (start, item number) pairs."""
+        sums = Sums(raw) if self.classes else None
+        starts, ends, at, items = ([np.zeros(0, np.int64)] for _ in range(4))
+        for t in self.classes:
+            p, k = t.find(raw, sums, self.text)
+            starts.append(p)
+            ends.append(p + t.length[k])
+            n = (t.owners_at[k + 1] - t.owners_at[k]).astype(np.int64)
+            at.append(np.repeat(p, n))
+            items.append(t.owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(t.owners_at[k].astype(np.int64), n)].astype(np.int64))
+        return tuple(map(np.concatenate, (starts, ends, at, items)))
+
+
+class _Sent:
+    """A block's tables, sent to the executors as plain arrays, under a name that no other block has."""
+
+    def __init__(self, of, name: str):
+        self.of, self.name = of, name
+
+    def load(self) -> Searcher:
+        state = dict(self.of.value)
+        self.of.__dict__.pop("_value", None)  # let go of what the worker would keep; it is read from its file again
+        state["classes"] = [_filled(Tables, t) for t in state["classes"]]
+        return _filled(Searcher, state)
+
+    def kept(self) -> Searcher:
+        """The tables, which the worker keeps for its later tasks, of one block only."""
+        box = kept_in_worker("decontam", dict)
+        if box.get("name") != self.name:
+            box.clear()
+            box.update(name=self.name, value=self.load())
+        return box["value"]
+
+
+def _search(blocks: list, text: str, name: str):
+    """Adds to each row a struct `name` of word count, hit word intervals and item ids."""
 
     def run(batches):
-        s = pickle.loads(searcher.value)
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            before = t[name].to_pylist() if name in t.column_names else [None] * len(t)
-            buf, off = utf8(t["__text"])
+            buf, off = utf8(batch.column(batch.schema.get_field_index(text)))
             folded = buf.tobytes().translate(FOLD)
-            rows = []
-            for i, j in slices(off, 1 << 20):
-                docs = [folded[off[k] : off[k + 1]].split() for k in range(i, j)]
-                whole = b"".join(b" " + b" ".join(w) + b" " for w in docs)
-                ends, at = [], 0
-                for w in docs:
-                    at += 2 + (sum(map(len, w)) + len(w) - 1 if w else 0)
-                    ends.append(at)
-                found, _ = s.spans(whole) if docs else ([], set())
-                mine: dict[int, list] = defaultdict(list)
-                if found:
-                    for (a, b), k in zip(found, np.searchsorted(ends, [a for a, _ in found], "right").tolist(), strict=True):
-                        mine[k].append((a, b))
-                for k, w in enumerate(docs):
-                    hit, items = [], []
-                    if k in mine:
-                        lo = ends[k - 1] if k else 0
-                        text = whole[lo : ends[k]]
-                        _, items = s.spans(text)
-                        spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-                        a = np.searchsorted(spaces, [x - lo for x, _ in mine[k]])
-                        z = np.searchsorted(spaces, [x - lo - 1 for _, x in mine[k]])
-                        hit = merged(zip(a.tolist(), z.tolist(), strict=True))
-                    if old := before[i + k]:
-                        hit, items = merged([*((x["a"], x["z"]) for x in old["hit"]), *hit]), {*items, *old["items"]}
-                    rows.append({"n_words": len(w), "hit": [{"a": x, "z": y} for x, y in hit], "items": sorted(items)})
-            kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), ("items", pa.list_(pa.string()))])
-            cols = [t[c] for c in keep] + [pa.array(rows, kind)]
-            yield from pa.table(cols, names=[*keep, name]).combine_chunks().to_batches()
+            pieces = []
+            for i, j in slices(off, 4 << 20):
+                raw, begin = spaced([folded[off[k] : off[k + 1]] for k in range(i, j)])
+                pieces.append((raw, begin, np.flatnonzero(raw == 32)))
+            hits: list[dict] = [defaultdict(list) for _ in pieces]
+            items: list[dict] = [defaultdict(set) for _ in pieces]
+            for block in blocks:
+                s = block.kept() if len(blocks) == 1 else block.load()
+                for (raw, begin, gap), hit, item in zip(pieces, hits, items, strict=True):
+                    start, end, at, own = s.find(raw)
+                    doc = np.searchsorted(begin, start, "right") - 1
+                    base = np.searchsorted(gap, begin[doc])
+                    for d, a, z in zip(doc.tolist(), (np.searchsorted(gap, start) - base).tolist(), (np.searchsorted(gap, end - 1) - base).tolist(), strict=True):
+                        hit[d].append((a, z))
+                    doc = np.searchsorted(begin, at, "right") - 1
+                    for d, i in set(zip(doc.tolist(), own.tolist(), strict=True)):
+                        item[d].add(s.names[i])
+                del s
+            n_words, n_hits, a, z, n_items, flat = [], [], [], [], [], []
+            for (raw, begin, gap), hit, item in zip(pieces, hits, items, strict=True):
+                n = np.diff(np.searchsorted(gap, begin)) - 1
+                n_words.append(np.where(np.diff(begin) > 2, n, 0))
+                for d in range(len(begin) - 1):
+                    spans = merged(hit[d]) if d in hit else []
+                    n_hits.append(len(spans))
+                    a += [x for x, _ in spans]
+                    z += [x for _, x in spans]
+                    own = sorted(item[d]) if d in item else []
+                    n_items.append(len(own))
+                    flat += own
+            rows = len(batch)
+
+            def lists(counts, values):
+                return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), pa.int32()), values)
+
+            spans = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "z"])
+            words = pa.array(np.concatenate(n_words) if n_words else np.zeros(rows, np.int64), pa.int64())
+            out = pa.StructArray.from_arrays([words, lists(n_hits, spans), lists(n_items, pa.array(flat, pa.string()))], names=["n_words", "hit", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
     return run
 
@@ -172,51 +297,68 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _blocks(benchmark: DataFrame, most: int):
-    """Test items in blocks of at most `most` bytes, an item never split; the driver holds one block."""
+def _blocks(benchmark: DataFrame, most: int, least_words: int):
+    """Folded test items in blocks of at most `most` bytes; a longer item comes in pieces that share 9 words. The driver holds one block."""
     block, n = [], 0
     for x in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
-        size = len((x.text or "").encode())
-        if block and n + size > most:
-            yield block
-            block, n = [], 0
-        block.append((x.item or "", x.text))
-        n += size
-    yield block
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, name: str = "__decon", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        w = (x.text or "").encode().translate(FOLD).split()
+        if len(w) < least_words:
+            continue
+        at = 0
+        while True:
+            size, z = 0, at
+            while z < len(w) and (z - at < WINDOW or size + len(w[z]) + 1 <= most):
+                size += len(w[z]) + 1
+                z += 1
+            if block and n + size > most:
+                yield block
+                block, n = [], 0
+            block.append((x.item or "", b" ".join(w[at:z])))
+            n += size
+            if z >= len(w):
+                break
+            at = z - WINDOW + 1
+    if block:
+        yield block
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, name: str = "decon", block_bytes: int = BLOCK_BYTES, least_words: int = 1) -> DataFrame:
     """docs with all its columns and a struct `name`: n_words, hit (word intervals a to z), items (item ids).
 
-    docs: text and anything else. benchmark: item_id, text. A document word
-    is hit if an occurrence of any window covers it. Null or empty texts have
-    no words; null and wordless items have no windows; repeated rows and items
-    give what each gives alone; a null item_id reads as ''. With no item,
-    nothing is hit. If there is more than one block of items, each pass is
-    written to the shared folder before the next.
+    docs: text and anything else but a column `name`. benchmark: item_id, text.
+    A document word is hit if an occurrence of any window covers it. Null or
+    empty texts have no words; very long ones are searched whole; null and
+    wordless items, and those of fewer than least_words, have no windows;
+    repeated rows and items give what each gives alone; a null item_id reads as
+    ''. With no item, nothing is hit. An empty table gives an empty table.
     """
     sc = docs.sparkSession.sparkContext
-    keep = docs.columns
+    blocks = []
+    for block in _blocks(benchmark, block_bytes, least_words):
+        s = Searcher(block)
+        s.classes = [t.__dict__ for t in s.classes]
+        blocks.append(_Sent(sc.broadcast(s.__dict__), uuid.uuid4().hex))  # the tables of at most block_bytes of text
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kind = f"`{name}` struct<n_words: long, hit: array<struct<a: long, z: long>>, items: array<string>>"
-    out = docs
-    for turn, block in enumerate(_blocks(benchmark, block_bytes)):
-        s = sc.broadcast(cloudpickle.dumps(Searcher(block)))  # of at most block_bytes, or of one item
-        src = cut(out) if turn else out
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = src.withColumn("__text", F.col("text")).mapInArrow(_search(s, name, keep), f"{fields}, {kind}" if fields else kind)
-    return out
+    return docs.mapInArrow(_search(blocks, "text", name), f"{fields}, {kind}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (array of item ids, sorted as strings), contaminated; see mark()."""
-    x = mark(docs.select("doc_id", "text"), benchmark, block_bytes=block_bytes).select("doc_id", "__decon.*")
+    x = mark(docs.select("doc_id", "text"), benchmark, block_bytes=block_bytes).select("doc_id", "decon.*")
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, h: n + h["z"] - h["a"])
     return x.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", (n_hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with all their columns, without those that hold a window of a test item."""
-    return mark(docs, benchmark).filter(F.size("__decon.hit") == 0).drop("__decon")
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW) -> DataFrame:
+    """docs with all their columns, without those that hold ten words in a row of a test item.
+
+    Items of fewer than least_words words don't count here, as a word or two
+    prove nothing; with 1 they count whole, as in mark(). Null and empty texts
+    stay; repeated rows stay or go together. An empty table gives an empty one.
+    """
+    name = free_name(docs, "decon")
+    return mark(docs, benchmark, name, least_words=least_words).filter(F.size(F.col(f"`{name}`.hit")) == 0).drop(name)
 
 
 def op1(spark, sf_dir):
@@ -224,6 +366,12 @@ def op1(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def windows(text: str | None, n: int = WINDOW) -> set[bytes]:
+    """The windows of a test item as strings, each with a space at both ends; for tests."""
+    w = (text or "").encode().translate(FOLD).split()
+    return {b" " + b" ".join(w[i : i + n]) + b" " for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def reference(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     """Brute force for tests: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
     want = {str(i): [w[1:-1].split(b" ") for w in windows(t)] for i, t in items}

@@ -105,12 +105,39 @@ def test_decontamination_empty(spark):
     got = decontam.contamination(docs_of(spark, sample_docs()), items.limit(0)).collect()
     assert len(got) == len(sample_docs()) and not any(r.contaminated for r in got)
     kept = decontam.clean(docs_of(spark, sample_docs()), items)
-    assert kept.columns == docs_of(spark, []).columns and {3, 4, 8, 14}.isdisjoint(r.doc_id for r in kept.collect())
+    assert kept.columns == docs_of(spark, []).columns
+    # Items of one or two words ("a", "Tiny Item") say nothing about a document; ten words in a row do.
+    long = [(i, t) for i, t in sample_items() if len((t or "").split()) >= 10]
+    bad = [r[5] for r in decontam.reference(sample_docs(), long)]
+    assert out_of(kept.select("doc_id", "text")) == sorted([d for d, b in zip(sample_docs(), bad) if not b], key=repr)
+    kept = decontam.clean(docs_of(spark, sample_docs()), items, 1)
+    bad = [r[5] for r in decontam.reference(sample_docs(), sample_items())]
+    assert out_of(kept.select("doc_id", "text")) == sorted([d for d, b in zip(sample_docs(), bad) if not b], key=repr)
+    assert decontam.clean(empty(spark), items).count() == 0
+
+
+def test_long_items_come_in_pieces(spark):
+    """An item larger than a block loses no window."""
+    r = random.Random(2)
+    long = " ".join(r.choice(WORD) for _ in range(500))
+    items = spark.createDataFrame([("x", long), ("y", long[40:900])], "item_id string, text string")
+    w = long.split()
+    rows = [(k, " ".join(w[k : k + 10])) for k in range(491)] + [(1000, " ".join(w[:9])), (1001, long)]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs_of(spark, rows), items, 300).collect()}
+    want = {x[0]: x[2] for x in decontam.reference(rows, [("x", long), ("y", long[40:900])])}
+    assert {d: n for d, (n, _) in got.items()} == want and got[1001] == (500, ["x", "y"]) and got[1000] == (0, [])
 
 
 def test_shift_table_skips():
-    t = decontam.Tables([b" " + " ".join(WORD[:10]).encode() + b" "], 8)
+    text, at = decontam.spaced([" ".join(WORD[:10]).encode()])
+    t = decontam.Tables(text, np.array([0]), np.array([len(text)]), 8)
     assert t.shift.max() == t.m - 7 and t.shift.min() == 0
+    # Windows that share their suffix and even their beginning are told apart by their bytes.
+    many = [" ".join([*WORD[:9], f"z{i}"]).encode() for i in range(3000)]
+    s = decontam.Searcher([(str(i), x) for i, x in enumerate(many)])
+    raw, _ = decontam.spaced([b"q " + many[17] + b" q " + many[2999]])
+    start, end, at, own = s.find(raw)
+    assert sorted(s.names[i] for i in own) == ["17", "2999"] and sorted(bytes(raw[a:z]) for a, z in zip(start, end)) == sorted([b" " + many[17] + b" ", b" " + many[2999] + b" "])
 
 
 # 2. SimHash.
