@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix, slices, span_hashes, utf8, word_hashes, words
+from tessera.llm.common import cut, free_name, mix, slices, span_hashes, utf8, word_hashes, words
 
 #: Members of a bucket that are compared directly, and times that a larger one is hashed again.
 CAP, DEPTH = 4096, 4
+#: Nodes of a large part of all links that are sent to every task, at most.
+HUBS = 4096
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -175,9 +177,11 @@ def components(links: DataFrame) -> DataFrame:
     round is written to the shared folder.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        return pairs.join(least, "u")
+    def star(pairs: DataFrame, rows: int) -> DataFrame:
+        """u, v and m, the least of u and its neighbours. A node with over 1/HUBS of all rows (there are fewer than HUBS) meets its rows where they are."""
+        least = cut(pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("k")))
+        hubs = F.broadcast(least.filter(F.col("k") > max(rows / HUBS, 1000)).select("u", "m"))  # fewer than HUBS rows
+        return pairs.join(hubs.select("u"), "u", "left_anti").join(least.drop("k"), "u").union(pairs.join(hubs, "u"))
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -186,9 +190,9 @@ def components(links: DataFrame) -> DataFrame:
     was = state(e)
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        small = star(large)
+        large = star(both, 2 * was[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct())
+        small = star(large, was[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         e = cut(small.filter("u <> v").distinct())
         now = state(e)
@@ -208,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, check: i
     smallest doc_id of all that links reach. Null, empty and wordless texts
     all have fingerprint 0 and link like any other. Null doc_ids are never a
     component_id unless all of a component are null. Repeated rows each give
-    a row. An empty table gives an empty table.
+    a row. Very long texts are read whole. An empty table gives an empty table.
     """
     all_prints = fingerprints(docs, shingle, check is not None)
     if check is None:
@@ -220,13 +224,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, check: i
     roots = components(near_links(prints.drop("least"), radius, 64 if check is None else check, cap))
     linked = prints.join(roots, prints["node"] == roots["v"]).select("node", "root", "least")
     own = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    of = prints.join(own, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
+    # Written before the join, so that adaptive execution can split a print that many documents have.
+    of = cut(prints.join(own, "node", "left").select("node", F.coalesce("component", "least").alias("component_id")))
     out = all_prints.join(of, "node")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: keep_one: 64-bit fingerprints of a document, tables over their bits, bits of a table's key.
-PRINTS, TABLES, KEY_BITS = 4, 64, 15
+#: keep_one: 64-bit fingerprints of a document.
+PRINTS = 4
+#: Of a pair of exactly Jaccard 0.8, the odds that one bit agrees: 1 - acos(2 * 0.8 / 1.8) / pi.
+AGREE = 0.8485
 #: Of the first 128 bits, how many may differ in a pair that is worth comparing; at Jaccard 0.8 it is 19, standard deviation 4.
 FAR = 40
 #: Documents are near-duplicates if common shingles are at least 4/5 of all that either has.
@@ -259,8 +266,18 @@ def _set_name(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def table_shape(n: int) -> tuple[int, int]:
+    """Bits of a table's key and tables, for n sets: some eight sets to a key, and as many tables as a pair of 0.8 needs.
+
+    A table holds such a pair with odds of AGREE**bits; with 5.5 over that, all
+    miss it with odds of 0.4 %. So tables grow as about n**0.24.
+    """
+    bits = min(36, max(12, n.bit_length() - 3))
+    return bits, int(np.ceil(5.5 / AGREE**bits))
+
+
 def _set_prints(shingle: int):
-    """doc_id, the name of its set of shingles (s, t) and fingerprints of the set by independent seeds."""
+    """doc_id, h (a hash of its text), the name of its set of shingles (s, t) and fingerprints of the set by independent seeds."""
 
     def run(batches):
         for batch in batches:
@@ -272,8 +289,8 @@ def _set_prints(shingle: int):
                 if len(has):
                     for k in range(PRINTS):
                         out[k, has] = _vote(mix(h * np.uint64(2) + np.uint64(0xD6E8FEB86659FD93 + 2 * k)), np.append(begin[has], begin[-1]))
-                cols = [batch.column(0).slice(i, j - i), *map(pa.array, _set_name(h, begin)), *[pa.array(x.view(np.int64)) for x in out]]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "s", "t", *[f"f{k}" for k in range(PRINTS)]])
+                cols = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *map(pa.array, _set_name(h, begin)), *[pa.array(x.view(np.int64)) for x in out]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "s", "t", *[f"f{k}" for k in range(PRINTS)]])
 
     return run
 
@@ -292,17 +309,21 @@ def _sets(shingle: int):
     return run
 
 
-def _table_keys(batches):
+def _table_keys(bits: int, tables: int):
     """A row for each node and table: key, node, comp, f0, f1."""
-    r = np.random.default_rng(64)
-    at = [r.choice(64 * PRINTS, KEY_BITS, replace=False) for _ in range(TABLES)]
-    for batch in batches:
-        for i in range(0, len(batch), 2048):
-            part = batch.slice(i, 2048)
-            node, comp, *prints = (c.to_numpy(zero_copy_only=False) for c in part.columns)
-            bits = np.unpackbits(np.stack(prints, 1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            key = np.concatenate([bits[:, own] @ (1 << np.arange(KEY_BITS)) + (k << KEY_BITS) for k, own in enumerate(at)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(x, TABLES)) for x in (node, comp, *prints[:2])]], names=["key", "node", "comp", "f0", "f1"])
+
+    def run(batches):
+        r = np.random.default_rng(64)
+        at = [r.choice(64 * PRINTS, bits, replace=False) for _ in range(tables)]
+        for batch in batches:
+            for i in range(0, len(batch), 1024):
+                part = batch.slice(i, 1024)
+                node, comp, *prints = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                own = np.unpackbits(np.stack(prints, 1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                key = np.concatenate([own[:, x] @ (1 << np.arange(bits)) + (k << bits) for k, x in enumerate(at)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(x, tables)) for x in (node, comp, *prints[:2])]], names=["key", "node", "comp", "f0", "f1"])
+
+    return run
 
 
 def _near_pairs(once: bool):
@@ -366,7 +387,7 @@ def _alike(batches):
 
 
 def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, least: the smallest doc_id), one for each different set of shingles, and v, root of the nodes that are linked.
+    """Nodes (node, least: doc_id and text hash h of the smallest document), one for each different set of shingles, and v, root of the nodes that are linked.
 
     Candidates share a key in one of the tables and are near in 128 bits;
     linked are those whose sets have a Jaccard similarity of 4/5 by all their
@@ -375,17 +396,18 @@ def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFra
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = [f"f{k}" for k in range(PRINTS)]
-    docs = docs.select("doc_id", "text")
-    named = docs.mapInArrow(_set_prints(shingle), f"doc_id {kind}, s long, t long, " + ", ".join(f"{c} long" for c in prints))
-    nodes = cut(named.groupBy("s", "t", *prints).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("s", "t")))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    named = docs.mapInArrow(_set_prints(shingle), f"doc_id {kind}, h long, s long, t long, " + ", ".join(f"{c} long" for c in prints))
+    nodes = cut(named.groupBy("s", "t", *prints).agg(F.min(F.struct("doc_id", "h")).alias("least")).withColumn("node", F.xxhash64("s", "t")))
+    shape = table_shape(nodes.count())
 
     def pairs(comp: DataFrame, once: bool) -> DataFrame:
-        keys = comp.select("node", "comp", *prints).mapInArrow(_table_keys, "key long, node long, comp long, f0 long, f1 long")
+        keys = comp.select("node", "comp", *prints).mapInArrow(_table_keys(*shape), "key long, node long, comp long, f0 long, f1 long")
         return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_pairs(once), "a long, b long").distinct()
 
     def confirmed(found: DataFrame) -> DataFrame:
         ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-        own = docs.join(nodes.join(ends, "node").select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+        own = docs.join(nodes.join(ends, "node").select("least.doc_id", "least.h"), ["doc_id", "h"], "left_semi")
         sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own binary").select(F.xxhash64("s", "t").alias("node"), "own")
         sets = cut(sets.dropDuplicates(["node"]))
         with_a = found.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
@@ -404,13 +426,20 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Near-duplicates have a Jaccard similarity of at least 0.8 between their
     sets of five-word shingles (words as in fingerprints()), or are linked by
-    others that have. Candidates come from SimHash tables, see jaccard_nodes().
-    Of repeated rows one stays. Rows with a null doc_id take no part and stay.
+    others that have. Null, empty and wordless texts have no shingles: they
+    are one group. Candidates come from SimHash tables, see jaccard_nodes().
+    Two texts that share a doc_id are two documents; of rows with the same
+    doc_id and text one stays, whatever their other columns. Rows with a null
+    doc_id take no part and stay. Very long texts are compared whole. An empty
+    table gives an empty table.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
     nodes, roots = jaccard_nodes(named, shingle)
-    stay = nodes.join(roots, F.col("node") == F.col("v"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
-    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+    stay = nodes.join(roots, F.col("node") == F.col("v"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
+    h = free_name(docs, "h")
+    stay = stay.select(F.col("least.doc_id").alias("doc_id"), F.col("least.h").alias(h))
+    kept = named.withColumn(h, F.xxhash64("text")).join(stay, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
+    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
 
 
 def op2(spark, sf_dir):

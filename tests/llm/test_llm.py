@@ -184,9 +184,66 @@ def test_simhash_empty_and_stage(spark, near_docs):
     assert None in ids and ids.count(10) == 1 and len([i for i in ids if i and 10 <= i < 90]) < 30 and set(range(100, 120)) <= set(ids)
 
 
+def test_simhash_query_is_brute_force(spark, sf_dir, real):
+    assert out_of(simhash.op2(spark, sf_dir)) == sorted(simhash.reference(real), key=repr)
+
+
+def test_simhash_is_spark_xxhash64(spark, sf_dir):
+    """The fingerprints' hashes against Spark's own XXH64, whose seed is 42."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    w = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
+    rows = docs.select("doc_id", w.alias("w")).filter("size(w) >= 3").select("doc_id", F.posexplode("w").alias("p", "x"), "w").filter("p + 3 <= size(w)")
+    rows = rows.select("doc_id", F.xxhash64(F.array_join(F.slice("w", F.col("p") + 1, 3), " ")).alias("h"))
+    votes = rows.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
+    want = {r.doc_id: sum(1 << b for b in range(64) if 2 * r[f"b{b}"] > r.n) for r in votes.collect()}
+    got = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(docs, 3).collect()}
+    assert len(want) > 150 and all(got[d] == x for d, x in want.items())
+
+
 def jaccard(x, y):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
-    return len(a & b) / len(a | b)
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((x or "").lower().split(), (y or "").lower().split()))
+    a, b = (s - {()} for s in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_keep_one(rows):
+    """(doc_id, text) of the documents that stay, by all pairs."""
+    rows = sorted(set(rows), key=lambda x: x[0])
+    top = [*range(len(rows))]
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = i, j
+                while top[a] != a:
+                    a = top[a]
+                while top[b] != b:
+                    b = top[b]
+                top[max(a, b)] = min(a, b)
+    return [x for i, x in enumerate(rows) if top[i] == i]
+
+
+def test_keep_one_of_one_id(spark):
+    """Two texts with one doc_id are two documents; the same row twice is one."""
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, b + " more"), (3, None), (4, ""), (4, None), (5, "z " * 30000), (6, "Z " * 29000)]
+    got = [tuple(r) for r in simhash.keep_one(docs_of(spark, rows)).select("doc_id", "text").collect()]
+    assert sorted(x[:2] for x in got if x[0] in (1, 2, 5, 6)) == sorted([(1, a), (1, b), (5, "z " * 30000)])
+    assert [x[0] for x in got if x[0] in (3, 4)] == [3]
+
+
+@pytest.mark.parametrize("hubs", [4096, 3])
+def test_components_with_hubs(spark, hubs, monkeypatch):
+    monkeypatch.setattr(simhash, "HUBS", hubs)
+    pairs = [(0, i) for i in range(1, 4000)] + [(5000 + i, 3999 - i) for i in range(50)] + [(9000, 9001)]
+    got = {r.v: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(4000)}, **{5000 + i: 0 for i in range(50)}, 9000: 9000, 9001: 9000}
+
+
+def test_table_shape():
+    """At every size some eight sets share a key, and a pair of 0.8 is in a table with odds of 0.99 at least."""
+    for n in (0, 1, 1000, 10**5, 10**7, 10**9):
+        bits, tables = simhash.table_shape(n)
+        assert n / 2**bits < 9 and 1 - (1 - simhash.AGREE**bits) ** tables > 0.99
 
 
 def test_keep_one_recall(spark):
