@@ -16,6 +16,13 @@ place and hash are repeats. Different windows may well share an anchor, so of
 these only the 64 bits of the words tell them apart. Windows
 without an anchor, such as those in long runs, are sent under their own hash.
 
+A phrase of fewer words than a window that very many documents have, amid
+different words, makes one name hot though nothing repeats. A first pass counts
+the names of all texts; names with 1/HOT of all are dealt by the window's hash
+too, so equal windows still meet, but not all the name's windows. A task keeps
+each different window of its current name once, in sorted arrays that double
+in size, so its work grows as the rows, times their logarithm.
+
 A task first compares the windows of its own texts and sends each different
 window once, so what is sent for a passage grows with the tasks, not with the
 documents that have it, and a hot passage never gathers in one place.
@@ -28,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, span_hashes, utf8, word_hashes, words
+from tessera.llm.common import cut, mix, slices, span_hashes, utf8, word_hashes, words
 
 #: Rounds of run and pair naming; a symbol is 4.4 words long on average after 5 and depends on about 23.
 ROUNDS = 5
 #: Bytes of text that a task compares at a time.
 CHUNK = 2 << 20
+#: A name with more than twice 1/HOT of all names is hot (fewer than HOT are), and is dealt to so many parts.
+HOT, PARTS = 4096, 64
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -116,7 +125,7 @@ def _row(sym, doc, pos, delta, wins, null: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([sym, pa.array(doc), pa.array(pos, pa.int32()), pa.array(delta, pa.int32()), wins], names=_NAMES)
 
 
-def _anchored(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, width: int, rounds: int):
+def _anchored(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, width: int, rounds: int, hot: np.ndarray):
     """Rows of one chunk: those to be sent by anchor, and (sym null) windows known to be repeats."""
     starts, ends, first = words(buf, off)
     n = np.diff(first)
@@ -159,15 +168,64 @@ def _anchored(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, width: int, rou
         head[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1] + 1)
         at = np.flatnonzero(head)
         lead = w[at]
-        bits = full[w].astype("<u8")
-        yield _row(sym[a[at]], own[lead], pos[lead].astype(np.int32), (s[a[at]] - p[lead]).astype(np.int32), _packed(np.cumsum(head) - 1, bits, len(at)), False)
+        warm = np.isin(sym[a[at]], hot)
+        row = np.cumsum(head) - 1
+        cold = ~warm[row]
+        if cold.any():
+            k = at[~warm]
+            lead = w[k]
+            yield _row(sym[a[k]], own[lead], pos[lead].astype(np.int32), (s[a[k]] - p[lead]).astype(np.int32), _packed(np.cumsum(~warm)[row[cold]] - 1, full[w[cold]].astype("<u8"), len(k)), False)
+        # Of hot names each window goes alone, with a name of its own for its part; its place in the name stays the same.
+        w, a = w[~cold], a[~cold]
+        if len(w):
+            part = mix(full[w] + _K[1]) % np.uint64(PARTS)
+            yield _row(mix(sym[a] * _K[0] + part + _K[2]), own[w], pos[w].astype(np.int32), (s[a] - p[w]).astype(np.int32), _packed(np.arange(len(w)), full[w].astype("<u8"), len(w)), False)
     w = live[~has]
     if len(w):
         bits = full[w].astype("<u8")
         yield _row(mix(full[w] + _K[3]), own[w], pos[w].astype(np.int32), np.full(len(w), width, np.int32), _packed(np.arange(len(w)), bits, len(w)), False)
 
 
-def _send(width: int, rounds: int):
+def _count_names(rounds: int):
+    """Of each chunk, the names that 1/HOT of its names are, and how many; sym null has the number of all names."""
+
+    def run(batches):
+        total, names, times = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            buf, off = utf8(batch.column(0))
+            for i, j in slices(off, CHUNK):
+                part = buf[off[i] : off[j]]
+                starts, ends, first = words(part, off[i : j + 1] - off[i])
+                if not len(starts):
+                    continue
+                sym, *_ = recompress(mix(word_hashes(part, starts, ends)), first, rounds)
+                total += len(sym)
+                k, n = np.unique(sym, return_counts=True)
+                own = n * HOT >= len(sym)
+                names, at = np.unique(np.concatenate((names, k[own])), return_inverse=True)
+                times = np.bincount(at, np.concatenate((times, n[own])), len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], names=["sym", "n"])
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times)], names=["sym", "n"])
+
+    return run
+
+
+def hot_names(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Names that more than 2/HOT of all names are, at most HOT, sorted.
+
+    A name with that share of all has half of it in the chunks where its own
+    share is 1/HOT or more, and only those are counted; so none is missed, and
+    fewer than HOT can reach it.
+    """
+    rows = docs.select("text").mapInArrow(_count_names(rounds), "sym long, n long").groupBy("sym").agg(F.sum("n").alias("n"))
+    rows = cut(rows)
+    total = rows.filter("sym is null").agg(F.max("n")).first()[0] or 0
+    own = rows.filter(F.col("sym").isNotNull() & (F.col("n") * HOT >= total)).select("sym").collect()  # at most HOT rows
+    return np.sort(np.array([r.sym for r in own], np.int64).view(np.uint64))
+
+
+def _send(width: int, rounds: int, hot: np.ndarray):
     def run(batches):
         held, size = [], 0
 
@@ -175,7 +233,7 @@ def _send(width: int, rounds: int):
             t = pa.concat_tables(held).combine_chunks()
             buf, off = utf8(t["text"])
             ids = t["doc_id"].combine_chunks().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0, np.int64)
-            yield from _anchored(ids.astype(np.int64), buf, off, width, rounds)
+            yield from _anchored(ids.astype(np.int64), buf, off, width, rounds, hot)
 
         for batch in batches:
             for i in range(0, len(batch), 256):
@@ -191,9 +249,34 @@ def _send(width: int, rounds: int):
     return run
 
 
+class _Seen:
+    """The smallest document of each window of the current name: sorted arrays, each more than twice as long as the next."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def least(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its smallest document so far, the largest number there is for those not seen."""
+        out = np.full(len(keys), np.iinfo(np.int64).max)
+        for k, d in self.levels:
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            out = np.where(k[at] == keys, np.minimum(out, d[at]), out)
+        return out
+
+    def add(self, keys: np.ndarray, docs: np.ndarray):
+        """Distinct keys in ascending order that haven't been seen."""
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(keys):
+            k, d = self.levels.pop()
+            keys, docs = np.concatenate((k, keys)), np.concatenate((d, docs))
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+        if len(keys):
+            self.levels.append((keys, docs))
+
+
 def _repeats(batches):
     """Rows sorted by sym and doc, to documents with the starts of windows that a smaller document has."""
-    carry = None  # of the last name: sym, places, hashes, smallest documents, -1 for each
+    name, seen = None, _Seen()  # of the last name
     for batch in batches:
         if not len(batch):
             continue
@@ -214,28 +297,32 @@ def _repeats(batches):
         at = np.flatnonzero(head)
         shared = doc[at] != doc[np.append(at[1:], len(doc)) - 1]  # sorted by doc within a name
         shared[-1] = True
-        if carry is not None and carry[0] == sym[0]:
-            shared[0] = True
-        own = shared[g]
-        rows = np.flatnonzero(own)
+        goes_on = name is not None and name == sym[0]
+        shared[0] |= goes_on
+        rows = np.flatnonzero(shared[g])
         n = np.diff(off)[rows]
         begin = np.cumsum(n) - n
         j = np.arange(n.sum()) - np.repeat(begin, n)
         row = np.repeat(rows, n)
-        # A window: the name's number and the place within it, and the hash of its words.
-        at = g[row] * 4096 + (delta[row] - j + 2048)
-        key, d, p = bits[off[row] + j], doc[row], pos[row] + j
-        if carry is not None and carry[0] == sym[0]:
-            at, key, d, p = (np.concatenate(x) for x in zip(carry[1:], (at, key, d, p), strict=True))
-        order = np.lexsort((d, key, at))
-        k, o = key[order], at[order]
+        # A window: the place of the name in it, and the hash of its words; for one place all 64 bits of the hash count.
+        key = mix(bits[off[row] + j] + mix((delta[row] - j).astype(np.uint64) + _K[0]))
+        of, d, p = g[row], doc[row], pos[row] + j
+        order = np.lexsort((d, key, of))
+        k, o = key[order], of[order]
         group = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]))))
         least = d[order][group]
+        if goes_on:
+            own = np.flatnonzero(o[group] == 0)
+            least[own] = np.minimum(least[own], seen.least(k[group[own]]))
         again = np.zeros(len(k), bool)
         again[order] = d[order] > np.repeat(least, np.diff(np.append(group, len(k))))
-        last = o[group] >> 12 == g[-1]
-        carry = (sym[-1], o[group][last] & 4095, k[group][last], least[last], np.full(last.sum(), -1))
-        again &= p >= 0
+        if not goes_on or g[-1]:
+            seen = _Seen()
+        name = sym[-1]
+        own = np.flatnonzero(o[group] == g[-1])
+        keys = k[group[own]]
+        new = own[seen.least(keys) == np.iinfo(np.int64).max]
+        seen.add(k[group[new]], least[new])
         if again.any():
             w = np.flatnonzero(again)
             w = w[np.argsort(d[w], kind="stable")]
@@ -276,15 +363,18 @@ def substring_dedup(docs: DataFrame, width: int = 50, rounds: int = ROUNDS) -> D
     n_removed, kept (the words that stay, joined by one space). Texts of fewer
     words and null or empty ones lose nothing. Repeated rows have one doc_id,
     so none is smaller: each gets the same result. Rows with a null doc_id
-    take no part and lose nothing. An empty table gives an empty table.
+    take no part and lose nothing. A very long text is compared whole; its task
+    holds about 150 bytes for each of its words. An empty table gives an empty
+    table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    rows = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_send(width, rounds), "sym long, doc long, pos int, delta int, wins binary")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    rows = named.mapInArrow(_send(width, rounds, hot_names(named, rounds)), "sym long, doc long, pos int, delta int, wins binary")
     # Known repeats (sym null) go along with the others and are dealt by document.
     dealt = rows.repartition(F.coalesce("sym", F.xxhash64("doc"))).sortWithinPartitions("sym", "doc")
     found = dealt.mapInArrow(_repeats, "doc long, starts binary").groupBy("doc").agg(F.collect_list("starts").alias("starts"))
-    both = docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts")
+    both = docs.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts")
     return both.mapInArrow(_strip(width), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

@@ -702,6 +702,8 @@ def test_substrings(spark, seed, width, rounds, monkeypatch):
         rows.append((d, " ".join(w)))
     rows += rows[6:9]
     monkeypatch.setattr(substring, "CHUNK", 2000)
+    if seed > 1:  # nearly all names are hot
+        monkeypatch.setattr(substring, "HOT", 1 << 40)
     got = substring.substring_dedup(docs_of(spark, rows).repartition(3), width, rounds)
     assert out_of(got) == brute_substrings(rows, width)
 
@@ -720,7 +722,7 @@ def test_windows_under_one_anchor(monkeypatch):
     texts = [" ".join([f"{d}a{r.random()}" for _ in range(40)] + phrase + [f"{d}b{r.random()}" for _ in range(40)]) for d in range(20)] * 2
     sent = []
     for d, t in enumerate(texts):
-        sent += substring._send(50, 5)([pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t])], names=["doc_id", "text"])])
+        sent += substring._send(50, 5, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t])], names=["doc_id", "text"])])
     rows = pa.Table.from_batches(sent).sort_by([("sym", "ascending"), ("doc", "ascending")])
     for size in (100000, 7):
         found = {}
@@ -730,6 +732,35 @@ def test_windows_under_one_anchor(monkeypatch):
         assert found == {d: set(range(71)) for d in range(20, 40)}
 
 
+def test_hot_names(spark):
+    """A phrase in every text is hot, its windows are dealt by their words, and none repeats but in the copies."""
+    r = random.Random(11)
+    phrase = [f"p{i}" for i in range(30)]
+    rows = [(d, " ".join([f"{d}a{i}" for i in range(30)] + phrase + [f"{d}b{i}" for i in range(30)])) for d in range(300)]
+    rows += [(1000 + d, rows[d][1]) for d in r.sample(range(300), 20)]
+    hot = substring.hot_names(docs_of(spark, rows).select("text"))
+    assert 0 < len(hot) < substring.HOT
+    assert out_of(substring.substring_dedup(docs_of(spark, rows))) == brute_substrings(rows, 50)
+
+
+def test_one_anchor_is_linear():
+    """Twice the rows of one name take about twice the time."""
+    import time
+
+    def seconds(n):
+        r = np.random.default_rng(n)
+        doc = np.arange(n)
+        wins = r.integers(0, 2**63, n * 8).astype("<u8")
+        rows = substring._row(np.full(n, 7, np.uint64), doc, np.zeros(n, np.int32), np.full(n, 9, np.int32), substring._packed(np.repeat(doc, 8), wins, n), False)
+        batches = [rows.slice(i, 2000) for i in range(0, n, 2000)]
+        start = time.process_time()
+        assert list(substring._repeats(batches)) == []
+        return time.process_time() - start
+
+    seconds(10_000)
+    assert seconds(160_000) < 3.5 * seconds(80_000)
+
+
 def test_names_inside_equal_substrings():
     """A name whose words all lie in a shared piece is at the same place in both texts."""
     r = np.random.default_rng(4)
