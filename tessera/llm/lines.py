@@ -1,13 +1,16 @@
 """Line dedup: drop lines that many documents share, with DataFrame functions alone.
 
-Plan: lines are exploded to 128-bit key hashes, reduced to one row for each
-(hash, document), counted, and the few keys over the threshold are joined back
-to their documents. Only then do whole texts move, once, to meet the set of
-keys that their document loses; lines are filtered in place, which keeps their
-order. The counts are partial sums on the map side, so a line in every
-document costs one row for each task; the join back is a plain shuffled join,
-which adaptive execution splits where one key is hot. Nothing is broadcast
-unless Spark itself sees that it is small.
+Plan: lines are exploded to 128-bit key hashes with their positions, reduced to
+one row for each (hash, document), counted, and the few keys over the threshold
+are joined back, which gives each document the positions that it loses. Only
+then do whole texts move, once, to meet these positions; the text is put
+together again from the positions that are left. Nothing is compared line by
+line with a document's list of lost keys: set operations on positions take
+time in proportion to the lines. The counts are partial sums on the map side, so
+a line in every document costs one row for each task; the rows of keys are
+written before the join back, a plain shuffled join of two exchanges, which
+adaptive execution splits where one key is hot. Nothing is broadcast unless
+Spark itself sees that it is small, and joins sort, so they can spill.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, ascii_lower
+from tessera.llm.common import BLANKS, ascii_lower, cut
 
 
 def _key(line: Column) -> Column:
@@ -41,18 +44,24 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataF
     line without ASCII white space at both ends, A-Z lower-cased; keys shorter
     than min_chars code points are never dropped. Null or empty text is one
     empty line. Documents are told apart by doc_id: repeated rows count once
-    and each get the same result. Rows whose doc_id is null count for
-    nothing and keep all their lines. An empty table gives an empty table.
+    and each get the same result; two texts that share a doc_id are judged
+    as one document, each by its own lines. Rows whose doc_id is null count for
+    nothing and keep all their lines. A very long text is one row, with some 30
+    bytes for each of its lines besides. An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    hashes = F.array_compact(F.transform(_lines(F.col("text")), lambda x: _hash(x, min_chars)))
-    held = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(hashes)).alias("h")).select("doc_id", "h.a", "h.b").distinct()
-    common = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs).drop("n")
-    lost = held.join(common, ["a", "b"]).filter(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
-    both = docs.join(lost.hint("shuffle_hash"), "doc_id", "left")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), _hash(x, min_chars)), F.lit(False))))
-    return both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept")).select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
+    hashes = F.transform(_lines(F.col("text")), lambda x: _hash(x, min_chars))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(hashes).alias("pos", "h"))
+    rows = rows.filter(F.col("h").isNotNull()).select("doc_id", "of", "pos", "h.a", "h.b")
+    common = rows.select("a", "b", "doc_id").distinct().groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
+    common = cut(common.select("a", "b", "last"))
+    gone = rows.join(common, ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
+    lost = gone.groupBy("doc_id", "of").agg(F.collect_set("pos").alias("lost"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("of"), _lines(F.col("text")).alias("line"))  # before the join, so that they are split once
+    both = lines.join(lost, ["doc_id", "of"], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("line") - 1), F.col("lost"))  # in ascending order, by a hash set
+    kept = F.when(F.col("lost").isNull(), F.col("line")).otherwise(F.transform(left, lambda i: F.get("line", i)))
+    return both.select("doc_id", F.size("line").cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept"))
 
 
 def op10(spark, sf_dir):

@@ -833,4 +833,18 @@ def test_line_dedup(spark):
     rows += [(None, long), (40, None), (41, ""), (42, "\n"), (3, rows[3][1]), (43, "\r" + long + "\x0b"), (44, ("z" * 50 + "\n") * 3000)]
     rows += [(i, "four documents only have this long long line") for i in range(50, 54)] + [(50, "four documents only have this long long line")]
     assert out_of(lines.line_dedup(docs_of(spark, rows))) == brute_lines(rows)
+    rows += [(60, None), (60, f"{long}\nmine"), (60, f"other\n{long}\n\n{long}")]  # three texts of one doc_id
+    assert out_of(lines.line_dedup(docs_of(spark, rows))) == brute_lines(rows)
     assert lines.line_dedup(empty(spark)).count() == 0
+
+
+def test_many_lost_lines_of_one_document(spark):
+    """A document that loses half of 40,000 lines takes no longer than its lines warrant."""
+    import time
+
+    shared = [f"line number {i:06d} that all of these documents have" for i in range(20_000)]
+    rows = [(d, "\n".join(f"{x}\n{d}" for x in shared)) for d in range(5)]
+    start = time.time()
+    got = lines.line_dedup(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got)[:1] == [(0, 40_000, 20_000, "\n".join(["0"] * 20_000))]
+    assert {r.doc_id: r.n_dropped for r in got} == {0: 20_000, 1: 20_000, 2: 20_000, 3: 20_000, 4: 0} and time.time() - start < 30
