@@ -8,8 +8,15 @@ within each range then place every record on one line of bytes, which is cut
 into equal shards. The sample decides only how evenly the work is dealt, never
 the result.
 
-Sizes: the driver holds at most SAMPLE keys, and the ranges' sums (at most
-MOST_RANGES), whatever the input.
+Ranges grow with the records, so that a range is some RANGE_ROWS of them, up to
+MOST_RANGES; beyond (1.6 billion records) ranges themselves grow. Splitters go
+out as a table: for each of the 4096 first three digits of a digest, how many
+splitters stand before and which have these digits. Records meet it by a
+broadcast join (at most MOST_RANGES keys in all) and search their few splitters
+in halves, so plans don't grow.
+
+Sizes: the driver holds at most 4 * MOST_RANGES sampled keys and the ranges'
+sums, whatever the input.
 """
 
 from __future__ import annotations
@@ -17,27 +24,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, free_name
 
-#: Keys drawn for each round, and ranges wanted for each shard.
-SAMPLE, RANGES_PER_SHARD, MOST_RANGES = 8192, 8, 8191
-#: Rounds of subdividing.
-ROUNDS = 4
+#: Ranges wanted for each shard at least, records in a range, ranges at most, keys drawn for each range.
+RANGES_PER_SHARD, RANGE_ROWS, MOST_RANGES, KEYS_PER_RANGE = 8, 100_000, 16_384, 4
+#: Keys drawn at least, and rounds of subdividing at most.
+SAMPLE, ROUNDS = 8192, 12
 _LEAST = -(1 << 63)
+_SPLITTER = "struct<digest: string, id: long>"
 
 
 def _key() -> Column:
     return F.struct(F.col("digest"), F.coalesce("doc_id", F.lit(_LEAST)).alias("id"))
 
 
-def _place(splitters: list[tuple[str, int]]) -> Column:
-    """Number of splitters at or below the record's key, by binary search in a literal array."""
-    if not splitters:
-        return F.lit(0)
-    steps = [1 << i for i in reversed(range(len(splitters).bit_length()))]
-    rows = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).cast("long").alias("id")) for d, i in splitters])
-    n = len(splitters)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(rows, F.least(at + step, F.lit(n)) - 1) <= _key()), at + step).otherwise(at))
+def _placed(rows: DataFrame, splitters: list[tuple[str, int]]) -> DataFrame:
+    """rows (digest, doc_id, ...) with `range`: the number of splitters at or below the record's key."""
+    by: dict[str, list] = {}
+    for d, i in splitters:
+        by.setdefault(d[:3], []).append((d, i))
+    table, at = [], 0
+    for k in range(4096):
+        own = by.get(f"{k:03x}", [])
+        table.append((f"{k:03x}", at, own))
+        at += len(own)
+    few = rows.sparkSession.createDataFrame(table, f"head string, before int, own array<{_SPLITTER}>")
+    j = rows.join(F.broadcast(few), F.substring("digest", 1, 3) == F.col("head"))  # 4096 rows, at most MOST_RANGES keys
+    n = F.size("own")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(map(len, by.values()), default=1).bit_length()))])
+    own = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get("own", F.least(at + step, n) - 1) <= _key()), at + step).otherwise(at))
+    return j.withColumn("range", F.col("before") + own).drop("head", "before", "own")
 
 
 def _draw(rows: DataFrame, n: int) -> list[tuple[str, int]]:
@@ -54,14 +70,17 @@ def _spread(keys: list, n: int) -> list:
 
 def splitters(rows: DataFrame, ranges: int) -> tuple[list[tuple[str, int]], dict[int, tuple[int, int]]]:
     """Splitters of rows (digest, doc_id, size), and (bytes, rows) of the ranges between them."""
-    cuts = _spread(_draw(rows, SAMPLE), ranges)
+    n = max(SAMPLE, KEYS_PER_RANGE * ranges)
+    cuts = _spread(_draw(rows, n), ranges)
     for turn in range(ROUNDS):
-        sums = {x.range: (x.bytes, x.n) for x in rows.groupBy(_place(cuts).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+        placed = _placed(rows, cuts)
+        sums = {x.range: (x.bytes, x.n) for x in placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
         fair = sum(b for b, _ in sums.values()) / max(1, ranges)
-        over = [k for k, (b, n) in sums.items() if b > 2 * fair and n > 1]
-        if not over or turn == ROUNDS - 1 or len(cuts) >= MOST_RANGES:
+        over = [k for k, (b, m) in sums.items() if b > 2 * fair and m > 1]
+        if not over or turn == ROUNDS - 1 or len(cuts) >= 2 * MOST_RANGES:
             return cuts, sums
-        drawn = _draw(rows.filter(_place(cuts).isin(over)), SAMPLE)
+        few = rows.sparkSession.createDataFrame([(k,) for k in over], "range int")
+        drawn = _draw(placed.join(F.broadcast(few), "range", "left_semi"), n)
         more: set = set()
         for k in over:
             low, high = cuts[k - 1] if k else None, cuts[k] if k < len(cuts) else None
@@ -69,7 +88,7 @@ def splitters(rows: DataFrame, ranges: int) -> tuple[list[tuple[str, int]], dict
             more |= set(_spread(inside, 1 + round(sums[k][0] / fair)))
         if not more - set(cuts):
             return cuts, sums
-        cuts = sorted({*cuts, *more})[:MOST_RANGES]
+        cuts = sorted({*cuts, *more})
     return cuts, sums
 
 
@@ -82,16 +101,18 @@ def shard_records(docs: DataFrame, shards: int = 40) -> tuple[DataFrame, list[tu
     """Deal documents to shards of near equal bytes (law `bytes`).
 
     docs: doc_id (integer), text; other columns are ignored. Returns rows of
-    doc_id, size, text_crc32, digest, shard, slot, and the first key of each
-    shard but the first that has records. A size is the UTF-8 bytes of the
-    text (null: none) plus 16. The record whose middle lies in the shard's
-    part of the line of all bytes is in the shard, so a shard is off by less
-    than its largest record. Slots are 0, 1, 2 ... in the order of the keys.
-    Null doc_ids stand first; repeated rows stand side by side, each with a
-    slot of its own. Fewer records than shards leave shards empty.
+    doc_id, size, text_crc32, digest, shard, slot, and (shard, first key) of
+    each shard that has records, in order. A size is the UTF-8 bytes of the
+    text (null: none) plus 16; a very long text is one record. The record
+    whose middle lies in the shard's part of the line of all bytes is in the
+    shard, so a shard is off by less than its largest record. Slots are 0, 1,
+    2 ... in the order of the keys. Null doc_ids stand first; repeated rows
+    stand side by side, each with a slot of its own. Fewer records than shards
+    leave shards empty; an empty table gives no rows.
     """
     rows = cut(record_sizes(docs))
-    cuts, sums = splitters(rows, shards * RANGES_PER_SHARD)
+    n = rows.count()
+    cuts, sums = splitters(rows, min(MOST_RANGES, max(shards * RANGES_PER_SHARD, n // RANGE_ROWS)))
     spark = docs.sparkSession
     total = sum(b for b, _ in sums.values())
     base, at, nth = [], 0, 0
@@ -99,7 +120,7 @@ def shard_records(docs: DataFrame, shards: int = 40) -> tuple[DataFrame, list[tu
         base.append((k, at, nth))
         at, nth = at + sums[k][0], nth + sums[k][1]
     ranges = spark.createDataFrame(base or [(0, 0, 0)], "range int, base_bytes long, base_rows long")
-    rows = rows.withColumn("range", _place(cuts)).join(F.broadcast(ranges), "range")  # at most MOST_RANGES rows
+    rows = _placed(rows, cuts).join(F.broadcast(ranges), "range")  # a row for each range
     order = Window.partitionBy("range").orderBy("digest", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     before = F.col("base_bytes") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rows = rows.withColumn("nth", F.col("base_rows") + F.row_number().over(order) - 1).withColumn("middle", 2 * before + F.col("size"))
@@ -109,24 +130,28 @@ def shard_records(docs: DataFrame, shards: int = 40) -> tuple[DataFrame, list[tu
     firsts = sorted((x.shard, x.x.nth, (x.x.digest, x.x.id)) for x in firsts.collect())  # a row for each shard
     starts = spark.createDataFrame([x[:2] for x in firsts] or [(0, 0)], "shard int, first long")
     out = rows.join(F.broadcast(starts), "shard").withColumn("slot", F.col("nth") - F.col("first"))
-    return out.select("doc_id", "size", "text_crc32", "digest", "shard", "slot"), [x[2] for x in firsts[1:]]
+    return out.select("doc_id", "size", "text_crc32", "digest", "shard", "slot"), [(s, key) for s, _, key in firsts]
 
 
 def write_order(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """The documents themselves, dealt by shard, with all their columns and a last one `shard`.
-
-    A column of that name is replaced. Whole texts move once, to the task of
-    their range; rows with equal keys stay together.
+    """The documents themselves in the order of shards and slots, with all their columns and a last one `shard`.
+
+    A column `shard` is replaced. A shard is a range of keys, so whole texts
+    move once, dealt by ranges of (digest, doc_id) and sorted: a partition has
+    a stretch of slots of one shard or of a few neighbours, also where a third
+    of all records are copies. Records with one key (repeated rows, and null
+    doc_ids with one text) stay together. Other cases are as in
+    shard_records(). An empty table gives an empty table.
     """
-    placed, firsts = shard_records(docs, shards)
-    numbers = [x.shard for x in placed.select("shard").distinct().orderBy("shard").collect()]  # a row for each shard
-    keys = ["__digest", "__id"]
-    docs = docs.drop("shard").withColumn("__digest", F.substring(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), 1, 16)).withColumn("__id", F.coalesce("doc_id", F.lit(_LEAST)))
-    nth = F.lit(0)
-    for d, i in firsts:
-        nth = nth + ((F.col("__digest") > d) | ((F.col("__digest") == d) & (F.col("__id") >= i))).cast("int")
-    number = F.element_at(F.array(*map(F.lit, numbers or [0])), nth + 1)
-    return docs.withColumn("shard", number.cast("int")).repartition("shard", F.substring("__digest", 1, 2)).drop(*keys)
+    _, firsts = shard_records(docs, shards)
+    docs = docs.drop("shard")
+    digest, key = free_name(docs, "digest"), free_name(docs, "id")
+    docs = docs.withColumn(digest, F.substring(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), 1, 16)).withColumn(key, F.coalesce("doc_id", F.lit(_LEAST)))
+    shard = F.lit(firsts[0][0] if firsts else 0)
+    for s, (d, i) in firsts[1:]:  # one for each shard
+        shard = F.when((F.col(digest) > d) | ((F.col(digest) == d) & (F.col(key) >= i)), s).otherwise(shard)
+    dealt = docs.withColumn("shard", shard.cast("int")).repartitionByRange(digest, key).sortWithinPartitions(digest, key)
+    return dealt.drop(digest, key)
 
 
 def op3(spark, sf_dir):

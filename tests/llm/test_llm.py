@@ -308,9 +308,38 @@ def test_sharding_empty_and_stage(spark, real):
     out, firsts = sharding.shard_records(empty(spark), 4)
     assert out.count() == 0 and firsts == []
     assert sharding.write_order(empty(spark), 4).count() == 0
-    placed = {r.doc_id: r.shard for r in sharding.shard_records(docs_of(spark, real), 4)[0].collect()}
-    dealt = sharding.write_order(docs_of(spark, real), 4)
-    assert {r.doc_id: r.shard for r in dealt.collect()} == placed and dealt.columns[-1] == "shard"
+    odd = [(None, None), (None, "x"), (None, "x"), *[(5000 + i, "same text " * 20) for i in range(300)], *[(7777, "again")] * 40, (8888, ""), (9999, "é" * 100_000)]
+    rows = real + odd
+    placed = sorted((r.doc_id is not None, r.doc_id, r.text_crc32, r.shard) for r in sharding.shard_records(docs_of(spark, rows), 4)[0].collect() if r.doc_id is not None)
+    dealt = sharding.write_order(docs_of(spark, rows), 4)
+    got = dealt.collect()
+    assert dealt.columns == [*empty(spark).columns, "shard"] and len(got) == len(rows)
+    assert sorted((True, r.doc_id, zlib.crc32((r.text or "").encode()), r.shard) for r in got if r.doc_id is not None) == placed
+    # Shards, and slots within them, come in order.
+    keys = [(r.shard, hashlib.md5((r.text or "").encode()).hexdigest()[:16], -(1 << 63) if r.doc_id is None else r.doc_id) for r in got]
+    assert keys == sorted(keys)
+    clash = docs_of(spark, rows).withColumn("shard", F.lit("old")).withColumn("id", F.lit(3))
+    assert sharding.write_order(clash, 4).columns == [*empty(spark).columns, "id", "shard"]
+
+
+def brute_shards(rows, shards):
+    """(doc_id, size, shard, slot) by one sort of all records."""
+    own = sorted((hashlib.md5((t or "").encode()).hexdigest()[:16], d is not None, d, len((t or "").encode()) + 16) for d, t in rows)
+    total, at, out, slots = sum(x[3] for x in own), 0, [], {}
+    for _, _, d, size in own:
+        s = min((2 * at + size) * shards // (2 * total), shards - 1)
+        out.append((d, size, s, slots.get(s, 0)))
+        slots[s] = slots.get(s, 0) + 1
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_sharding_is_one_sort(spark, ranges, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", ranges)
+    rows = [(i, f"t{i % 7}" * (i % 50)) for i in range(900)] + [(i, "hot " * 9) for i in range(900, 1500)]
+    got = sharding.shard_records(docs_of(spark, rows), 7)[0].select("doc_id", "size", "shard", "slot")
+    assert out_of(got) == sorted(brute_shards(rows, 7), key=repr)
 
 
 def test_overfull_ranges_are_subdivided(spark):
