@@ -6,6 +6,10 @@ prefix of the next one. The prefix sums are distributed: a key's first hex
 digits name one of 4096 ranges, ranges are summed (at most 4096 rows for each
 source), and rows are summed within their (source, range) only. No task holds
 a source, so one that has a third of all rows is dealt like the others.
+
+Sources may be as many as hosts: they are numbered by ranges of their names
+(counts of each range first, places within it then), and the level at which
+weights are met comes from sums over all sources, so no task holds them all.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, word_count
+from tessera.llm.common import cut, free_name, word_count
 
 #: Hex digits of a key that name its range.
 DIGITS = 3
@@ -21,27 +25,40 @@ DIGITS = 3
 FEW_SOURCES = 50_000
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with `nth`, each row's place (from 0) by code points, null last. The driver holds one count for each partition."""
+    rows = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    counts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before, at = [], 0
+    for part, n in counts:
+        before.append((part, at))
+        at += n
+    few = sources.sparkSession.createDataFrame(before or [(0, 0)], "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return rows.join(F.broadcast(few), "part").withColumn("nth", F.col("before") + own).drop("part", "before")  # a row for each partition
+
+
 def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     """A target for each source: source, source_size, target.
 
     Sources in the order of their code points, null last, weigh 1, 2, 3 and
     so on again. The sum of all sizes is shared by weight; no target exceeds
-    most times its source's size, and what is cut off is shared anew. In
-    closed form: with sources in ascending order of limit/weight, the first
-    ones meet their limits, the rest get weight times one level. The window
-    over all sources holds one row for each source, not for each document.
+    most times its source's size, and what is cut off is shared anew: at the
+    level at which what is left is shared by weight among the sources that
+    stay below their limit. Raising the level can only bring more sources to
+    their limits, so it is raised until none is added.
     """
-    by = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("weight", (F.row_number().over(by) - 1) % 3 + 1).withColumn("cap", most * F.col("source_size"))
-    everything = Window.partitionBy(F.lit(0))
-    ratio = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
-    # The level if the sources before this one are at their limits; the first source that does not reach its own limit sets it.
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("x")))).over(everything).getField("x"))
-    share = F.col("level") * F.col("weight")
+    s = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    s = s.withColumn("weight", F.col("nth") % 3 + 1).withColumn("cap", most * F.col("source_size"))
+    s = cut(s.select("source", "source_size", "weight", "cap"))
+    level, full = None, None
+    while True:
+        low = F.lit(False) if level is None else F.col("cap") < level * F.col("weight")
+        x = s.agg(F.sum("source_size").alias("total"), F.coalesce(F.sum(F.when(low, F.col("cap"))), F.lit(0)).alias("cap"), F.sum(F.when(~low, F.col("weight"))).alias("weight"), F.count_if(low).alias("full")).first()
+        if x.full == full or not x.weight:
+            break
+        level, full = (x.total - x.cap) / x.weight, x.full
+    share = F.lit(level if level is not None else 0.0) * F.col("weight")
     target = F.when(share < F.col("cap"), share).otherwise(F.col("cap").cast("double"))
     return s.select("source", "source_size", target.alias("target"))
 
@@ -80,9 +97,10 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     repeats counted; a source's sum is its target, rounded, and the document
     at the cut gives a part. copies: how often a mix of whole documents takes
     this one; the document at the cut is in it if at least half of it fits.
-    Null text has no words and is never taken; null is a source of its own;
-    rows with the same doc_id stand in the order of their sizes. Reruns give
-    the same rows.
+    Null and empty texts have no words and are never taken; a very long one
+    counts whole, in part at the cut. Null is a source of its own; rows with
+    the same doc_id stand in the order of their sizes. Reruns give the same
+    rows. An empty table gives an empty table.
     """
     return _placed(docs, most, seed).drop("key", "passes", "part")
 
@@ -92,21 +110,22 @@ def mix_documents(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFram
 
     A source's last key of the final pass decides, and one row for each source
     is joined to the documents. Up to FEW_SOURCES these rows are broadcast and
-    texts don't move; beyond, the join is a shuffled one. Rows that share a
-    doc_id and a size are taken together.
+    texts don't move; beyond, the join is a shuffled one of two exchanges, so
+    adaptive execution splits a source that has many rows. Rows that share a
+    doc_id and a size are taken together. Null and empty texts have no words
+    and are never taken. An empty table gives an empty table.
     """
     placed = _placed(docs, most, seed).filter("size > 0")
     last = F.max(F.when(F.col("copies") > F.col("passes"), F.struct("key", "doc_id", "size")))
-    cuts = placed.groupBy("source").agg(F.first("passes").alias("__passes"), last.alias("__last")).withColumnRenamed("source", "__source")
-    cuts = cut(cuts)
+    names = size, key, source, passes, end, copy = [free_name(docs, x) for x in ("size", "key", "of_source", "passes", "last", "copy")]
+    cuts = cut(placed.groupBy("source").agg(F.first("passes").alias(passes), last.alias(end)).withColumnRenamed("source", source))
     if cuts.count() <= FEW_SOURCES:
         cuts = F.broadcast(cuts)
-    columns = docs.columns
-    rows = docs.withColumn("__size", word_count(F.col("text"))).filter("__size > 0").withColumn("__key", _key(seed))
-    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("__source")))
-    place = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("__size").alias("size"))
-    copies = F.col("__passes") + F.when(F.col("__last").isNotNull() & (place <= F.col("__last")), 1).otherwise(0)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
+    rows = docs.withColumn(size, word_count(F.col("text"))).filter(F.col(size) > 0).withColumn(key, _key(seed))
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col(source)))
+    place = F.struct(F.col(key).alias("key"), F.col("doc_id").alias("doc_id"), F.col(size).alias("size"))
+    copies = F.col(passes) + F.when(F.col(end).isNotNull() & (place <= F.col(end)), 1).otherwise(0)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).drop(*names)
 
 
 def op9(spark, sf_dir):

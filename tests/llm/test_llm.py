@@ -824,8 +824,37 @@ def test_mixing(spark):
     assert targets["c"] == 0 and targets["zero"] == 0 and targets[None] == 3 * 2
 
 
-def test_mixing_stage(spark):
-    rows = [(i, "w " * (1 + i % 7), "a" if i % 4 else "b") for i in range(200)]
+def brute_targets(sizes, most=3):
+    """The target of each source by sharing again and again what is cut off."""
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), sum(sizes.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if most * sizes[s] < level * weight[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in open_}
+        for s in full:
+            target[s] = most * sizes[s]
+            left -= target[s]
+        open_ -= full
+    return target
+
+
+@pytest.mark.parametrize("n", [1, 5, 400])
+def test_targets(spark, n):
+    r = random.Random(n)
+    sizes = {f"host{r.randrange(10**9)}": r.choice([0, 1, 50, 10**5]) for _ in range(n)} | ({None: 7} if n > 1 else {})
+    rows = spark.createDataFrame([(s, k) for s, k in sizes.items()] + [(s, 0) for s in sizes], "source string, size long").repartition(4)
+    got = {x.source: x.target for x in mixing.source_targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(t) for s, t in want.items())
+
+
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_mixing_stage(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    rows = [(i, "w " * (1 + i % 7), "a" if i % 4 else "b") for i in range(200)] + [(500, "q " * 30, None), (501, None, "a"), (502, "", "c")]
     d = docs_of(spark, rows)
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(d).collect()}
     out = mixing.mix_documents(d)
