@@ -112,6 +112,17 @@ def words(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def same_bytes(x: np.ndarray, at: np.ndarray, y: np.ndarray, to: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether x[at:at+n] equals y[to:to+n], byte for byte."""
+    out = np.ones(len(at), bool)
+    for i in range(0, len(at), 4096):
+        k = slice(i, i + 4096)
+        own = np.repeat(np.arange(len(n[k])), n[k])
+        step = np.arange(len(own)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+        out[i + own[x[at[k][own] + step] != y[to[k][own] + step]]] = False
+    return out
+
+
 _ODD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUES, _powers, free_name, kept_in_worker, mix, slices, utf8
+from tessera.llm.common import BYTE_VALUES, _powers, free_name, kept_in_worker, mix, same_bytes, slices, utf8
 
 #: Bytes that separate words become a space, A-Z become a-z.
 FOLD = bytes(32 if i < 0x30 or 0x3A <= i <= 0x40 or 0x5B <= i <= 0x60 or 0x7B <= i <= 0x7F else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
@@ -56,17 +56,6 @@ class Sums:
         return mix((self.sums[at + n] - self.sums[at]) * self.down[at] + np.asarray(n).astype(np.uint64))
 
 
-def _same(x: np.ndarray, at: np.ndarray, y: np.ndarray, to: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether x[at:at+n] equals y[to:to+n], byte for byte."""
-    out = np.ones(len(at), bool)
-    for i in range(0, len(at), 4096):
-        k = slice(i, i + 4096)
-        own = np.repeat(np.arange(len(n[k])), n[k])
-        step = np.arange(len(own)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
-        out[i + own[x[at[k][own] + step] != y[to[k][own] + step]]] = False
-    return out
-
-
 class Tables:
     """Shift table and buckets of one length class: windows are places (start, length) in `text`."""
 
@@ -139,7 +128,7 @@ class Tables:
         length = self.length[k].astype(np.int64)
         fit = np.flatnonzero(p + length <= n)
         p, k, length = p[fit], k[fit], length[fit]
-        same = _same(raw, p, text, self.start[k].astype(np.int64), length)
+        same = same_bytes(raw, p, text, self.start[k].astype(np.int64), length)
         return p[same], k[same]
 
 
@@ -186,7 +175,7 @@ class Searcher:
         start, length, owner, same = start[order], length[order], owner[order], same[order]
         twin = np.zeros(len(start), bool)
         k = np.flatnonzero((same[1:] == same[:-1]) & (length[1:] == length[:-1]))
-        twin[k + 1] = _same(self.text, start[k], self.text, start[k + 1], length[k])
+        twin[k + 1] = same_bytes(self.text, start[k], self.text, start[k + 1], length[k])
         first = np.flatnonzero(~twin)
         where = np.append(first, len(start))
         for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 60), strict=True):

@@ -12,12 +12,16 @@ Documents are dealt by ranges of doc_id and sorted, so file order is doc_id
 order. Texts are encoded by the tokenizers library in pieces that its
 pre-tokenizer never joins (cut at ASCII white space, and where an ASCII letter
 or digit is followed by an ASCII sign); each different piece is encoded once
-by a worker and kept in a table of bounded size.
+by a worker and kept in a table of bounded size, where it is found by a hash
+and its bytes are compared. These cuts, and lower case for A-Z, are right for
+vocabulary files that normalise and split as FITS says; texts for other files
+go through the library whole.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import struct
 import uuid
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept_in_worker, shared_dir, utf8, word_hashes
+from tessera.llm.common import kept_in_worker, same_bytes, shared_dir, utf8, word_hashes
 
 MAGIC = b"TSEG1\0\0\0"
 #: Bytes of text in a segment, and pieces that a worker keeps.
@@ -42,6 +46,20 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _KIND[_a:_b] = 1
 
 
+#: Steps of the normaliser and the pre-tokenizer that the cuts fit: NFC, white space to one space, lower case; words, digits and signs by a pattern that no white space is in, then bytes.
+FITS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+
+
+def _steps(tok) -> tuple[list[str], list[str]]:
+    """The kinds of a tokenizer's normalising and splitting steps."""
+    own = json.loads(tok.to_str())
+    kinds = []
+    for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")):
+        step = own.get(part) or {}
+        kinds.append([x["type"] for x in step.get(inner, [step] if step else [])])
+    return tuple(kinds)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -51,8 +69,9 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of texts; a table of bounded size keeps what each piece gave.
 
-    The table is open addressing in numpy arrays, by a 64-bit hash of a piece;
-    that two of its pieces share a hash has odds of about 1 in 10 million.
+    The table is open addressing in numpy arrays, by a 64-bit hash of a piece.
+    A piece that is found is compared byte for byte with the one that was
+    learnt; where they differ, its texts go through the library whole.
     """
 
     def __init__(self, path: str, most: int = KEPT_PIECES):
@@ -60,6 +79,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.cuts = _steps(self.tok) == FITS
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -69,6 +89,7 @@ class Encoder:
         self.keys, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.off, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
         self.flat[0], self.off[1], self.n, self.used = END, 1, 1, 1  # piece 0 is the end of a document
+        self.at, self.bytes = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint8)  # where a piece's bytes begin, and all bytes
 
     def learn(self, pieces: list[bytes], hashes: np.ndarray):
         got = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
@@ -77,6 +98,14 @@ class Encoder:
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum()))
         while self.n + len(ids) + 1 > len(self.off):
             self.off = np.concatenate((self.off, np.zeros_like(self.off)))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        held = int(self.at[self.n])
+        while self.n + len(ids) + 1 > len(self.at):
+            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+        while held + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros_like(self.bytes)))
+        self.bytes[held : held + len(raw)] = raw
+        self.at[self.n + 1 : self.n + 1 + len(ids)] = held + np.cumsum([*map(len, pieces)])
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + len(flat)] = flat
@@ -106,6 +135,8 @@ class Encoder:
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END, and the number of ids of each."""
         raw = buf.tobytes()
+        if not self.cuts:
+            return self._each(raw, off)
         low = raw.translate(_LOWER)
         if any(x in raw or x.translate(_LOWER) in low for x in self.special):
             return self._each(raw, off)  # special tokens are spelt exactly and may not be cut
@@ -133,6 +164,9 @@ class Encoder:
                 k = own[i : i + (1 << 16)]
                 self.learn([low[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)], new[i : i + (1 << 16)])
             at[lost] = self.find(hashes[lost])
+        n = ends - starts
+        if (self.at[at + 1] - self.at[at] != n).any() or not same_bytes(buf, starts, self.bytes, self.at[at], n).all():
+            return self._each(low, off)  # two pieces of one hash
         last = np.searchsorted(starts, off[1:])
         at = np.insert(at, last, 0)  # ends of documents
         size = (self.off[at + 1] - self.off[at]).astype(np.int32)
@@ -149,6 +183,7 @@ class Encoder:
 
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1  # of the four ids of each control byte
 _TOTALS = _LENGTHS.sum(1)
+_BEFORE = np.cumsum(_LENGTHS, 1) - _LENGTHS  # where each of the four begins
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -166,7 +201,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     c = np.frombuffer(control, np.uint8)
     d = np.frombuffer(data + bytes(4), np.uint8)
     size = _LENGTHS[c].reshape(-1)[:n]
-    start = np.cumsum(size) - size
+    group = np.cumsum(_TOTALS[c]) - _TOTALS[c]
+    start = (group[:, None] + _BEFORE[c]).reshape(-1)[:n]
     out = d[start].astype(np.uint32)
     for k in (1, 2, 3):
         more = np.flatnonzero(size > k)
@@ -234,8 +270,10 @@ def write_tokens(docs: DataFrame, out: str, path: str, segment_bytes: int = SEGM
     """Write the ids of docs (doc_id, text) to the table `out`, in ascending doc_id order.
 
     Null texts are empty; each document ends with END. Null doc_ids stand
-    first; equal doc_ids stand in the order of their texts. The parts are
-    numbered in the order of doc_id, segments within a part too.
+    first; equal doc_ids, and repeated rows, stand in the order of their texts.
+    A very long text is a segment of its own. An empty table gives an empty
+    one. The parts are numbered in the order of doc_id, segments within a part
+    too. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -516,6 +516,22 @@ def test_encoder_is_the_library(spark, tmp_path):
             assert ids.tolist() == want * 2 and n.tolist() == [len(want)] * 2
 
 
+def test_pieces_of_one_hash(monkeypatch):
+    """Pieces that share a hash are told apart by their bytes."""
+    monkeypatch.setattr(tokenfile, "word_hashes", lambda buf, a, b: np.full(len(a), 5, np.uint64))
+    enc = tokenfile.Encoder(tokenfile.vocabulary())
+    for t in ["one two", "two one", "six"]:
+        assert enc.encode(*utf8(pa.array([t])))[0].tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_other_vocabulary_files():
+    """A file that keeps capitals and white space isn't cut by rules that don't fit it."""
+    enc = tokenfile.Encoder(tokenfile.vocabulary("byte_bpe_50k.json"))
+    assert not enc.cuts and tokenfile.Encoder(tokenfile.vocabulary()).cuts
+    for t in ODD_TEXTS:
+        assert enc.encode(*utf8(pa.array([t])))[0].tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_token_files_odd_rows(spark, tmp_path):
     out = str(tmp_path / "t")
     tokenfile.write_tokens(docs_of(spark, [(None, "n"), (3, "c"), (1, "a"), (1, "a"), (2, None)]), out, tokenfile.vocabulary())
