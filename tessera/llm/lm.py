@@ -11,12 +11,17 @@ its training count, and 1 is left for all tokens never seen.
 Training: every task runs mini-batches of gradient steps over all its training
 texts, from the same start (the unigram model); each weight row is then
 averaged over tasks by how often they saw its feature. Rows are summed on the
-executors, the driver gets the final table, whose size is fixed.
-
-Counts are exact and cover all training texts. The most frequent tokens' counts
-(2**18 at most) go to every task; rarer tokens travel to the task that
-has their count, as one row for each document they are in, and come back as
-sums. So no task holds a vocabulary, and no hot token travels at all.
+executors, the driver gets the final table. The rows for contexts grow with the
+root of the training tokens, as the number of different contexts does (a
+doubling for each four times as many, see table_scale()), from 2**24 tokens up
+to MOST_SCALE times; a training task then takes as many times more text, so
+that what the tasks send stays in proportion to the input.
+
+Counts are exact and cover all texts. The counts of the tokens that are most
+frequent in all texts, held out or not (2**18 at most), go to every task; rarer
+tokens travel to the task that has their count, as one row for each document
+they are in, and come back as sums. So no task holds a vocabulary, and no hot
+token travels at all.
 """
 
 from __future__ import annotations
@@ -33,9 +38,9 @@ from tessera.llm.common import Lookup, cut, mix, slices, utf8, word_hashes, word
 CLASSES, PER_CLASS, OPEN = 16, 32, 16
 #: Tokens whose counts every task has.
 FREQUENT = 1 << 18
-#: Rows of weights for the previous token, the skip, the pair; in a class, for the previous token and the skip.
-SIZES = (4096, 4096, 16384, CLASSES * 1024, CLASSES * 1024)
-STARTS = np.concatenate(([0], np.cumsum(SIZES)))
+#: Rows of weights for the previous token, the skip, the pair; in each class, for the previous token and the skip. At scale 1, and the largest scale: 0.9 million rows, 117 MB.
+SIZES, INNER = (4096, 4096, 16384), 1024
+MOST_SCALE, SCALE_TOKENS = 16, 1 << 24
 ALL = CLASSES + OPEN
 BATCH, RATE = 16384, 0.3
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -44,6 +49,11 @@ _NONE = np.uint64(0x2545F4914F6CDD10)  # before its start
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def table_scale(tokens: int) -> int:
+    """How many times the rows at scale 1: the root of the training tokens over SCALE_TOKENS, a power of two."""
+    return min(MOST_SCALE, 1 << max(0, round(np.log2(max(tokens, 1) / SCALE_TOKENS) / 2)))
+
+
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts as 64-bit values, and each text's first (n+1). The last four bits are the open class, by the last two bytes."""
     low = np.frombuffer(buf.tobytes().translate(_LOWER), np.uint8)
@@ -68,8 +78,8 @@ class Model:
     """Vocabulary, start (unigram) weights, hashed weights and what the open classes hold."""
 
     def __init__(self, frequent: np.ndarray, times: np.ndarray, open_mass: np.ndarray, total: int, distinct: int):
-        """frequent: tokens, the most frequent first; times: their counts."""
-        own = frequent[: CLASSES * PER_CLASS]
+        """frequent: tokens, the most frequent in training first; times: their counts there, which may be 0."""
+        own = frequent[: CLASSES * PER_CLASS][times[: CLASSES * PER_CLASS] > 0]
         self.words = Lookup(own, np.arange(len(own), dtype=np.int32))
         counts = times[: len(own)].astype(float)
         self.closed = np.full((CLASSES, PER_CLASS), -1e4, np.float32)  # no such word
@@ -81,8 +91,11 @@ class Model:
         mass[CLASSES:] = open_mass
         self.mass = open_mass
         self.start = np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e4).astype(np.float32)
-        self.weights = np.zeros((STARTS[-1], PER_CLASS), np.float32)
-        self.total, self.distinct = total, distinct
+        scale = table_scale(total)
+        self.sizes, self.inner = [n * scale for n in SIZES], INNER * scale
+        self.starts = np.concatenate(([0], np.cumsum([*self.sizes, *[CLASSES * self.inner] * 2])))
+        self.weights = np.zeros((self.starts[-1], PER_CLASS), np.float32)
+        self.total, self.distinct, self.scale = total, distinct, scale
         self.counts = Lookup(frequent, times)
 
     def rows(self, h: np.ndarray, first: np.ndarray):
@@ -92,15 +105,15 @@ class Model:
         one, two = _contexts(h, first)
         a, b = mix(one + _SALT[1]), mix(two + _SALT[2])
         pair = mix(a * _SALT[0] + b)
-        feats = [(x & np.uint64(n - 1)).astype(np.int64) for x, n in ((a, SIZES[0]), (b, SIZES[1]), (pair, SIZES[2]))]
-        inner = [(x >> np.uint64(32) & np.uint64(1023)).astype(np.int64) for x in (a, b)]
+        feats = [(x & np.uint64(n - 1)).astype(np.int64) for x, n in zip((a, b, pair), self.sizes, strict=True)]
+        inner = [(x >> np.uint64(32) & np.uint64(self.inner - 1)).astype(np.int64) for x in (a, b)]
         return cls, np.where(w >= 0, w % PER_CLASS, -1), feats, inner
 
     def log10(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of each token's probability; in open classes only the class's, over what the class holds."""
         cls, word, feats, inner = self.rows(h, first)
         out = np.empty(len(h))
-        t = [self.weights[STARTS[i] : STARTS[i + 1]] for i in range(5)]
+        t = [self.weights[a:b] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
         for i in range(0, len(h), BATCH):
             s = slice(i, i + BATCH)
             z = t[0][feats[0][s]] + t[1][feats[1][s]] + t[2][feats[2][s]] + self.start
@@ -108,7 +121,7 @@ class Model:
             k = np.flatnonzero(word[s] >= 0) + i
             if len(k):
                 c = cls[k]
-                z = t[3][c * 1024 + inner[0][k]] + t[4][c * 1024 + inner[1][k]] + self.closed[c]
+                z = t[3][c * self.inner + inner[0][k]] + t[4][c * self.inner + inner[1][k]] + self.closed[c]
                 out[k] += _log_softmax(z, word[k])
         out /= np.log(10)
         far = word < 0
@@ -123,7 +136,7 @@ def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _step(table: np.ndarray, past: np.ndarray, seen: np.ndarray, row: np.ndarray, grad: np.ndarray):
     """Adds the gradients of each row, scaled by the root of the row's past squares."""
-    order = np.argsort(row.astype(np.uint16), kind="stable")
+    order = np.argsort(row.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32), kind="stable")
     r = row[order]
     at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
     own, n = r[at], np.diff(np.append(at, len(r)))
@@ -142,14 +155,14 @@ class Trainer:
     def learn(self, h: np.ndarray, first: np.ndarray):
         m = self.m
         cls, word, feats, inner = m.rows(h, first)
-        part = [(self.w[a:b], self.past[a:b], self.seen[a:b]) for a, b in zip(STARTS[:-1], STARTS[1:], strict=True)]
+        part = [(self.w[a:b], self.past[a:b], self.seen[a:b]) for a, b in zip(m.starts[:-1], m.starts[1:], strict=True)]
         for i in range(0, len(h), BATCH):
             s = slice(i, i + BATCH)
             rows = [f[s] for f in feats]
             self._pull(part[:3], rows, m.start, cls[s])
             k = np.flatnonzero(word[s] >= 0) + i
             if len(k):
-                c = cls[k] * 1024
+                c = cls[k] * m.inner
                 self._pull(part[3:], [c + inner[0][k], c + inner[1][k]], m.closed[cls[k]], word[k])
 
     @staticmethod
@@ -177,9 +190,9 @@ def _chunks(batches, most: int = 2 << 20):
 
 def _count(batches):
     for _, held, h, first in _chunks(batches, 6 << 20):
-        own = h[np.repeat(~held, np.diff(first))]
-        k, n = np.unique(own, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["h", "c"])
+        k, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        c = np.bincount(at[np.repeat(~held, np.diff(first))], minlength=len(k))
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(n)], names=["h", "c", "m"])
 
 
 def _train(model):
@@ -211,18 +224,17 @@ def _floats(col: pa.Array, kind) -> np.ndarray:
 
 def _sum(batches):
     """Weighted means of the rows that tasks have sent."""
-    total, n = np.zeros((STARTS[-1], PER_CLASS)), np.zeros(STARTS[-1], np.int64)
+    own, total, n = np.zeros(0, np.int64), np.zeros((0, PER_CLASS)), np.zeros(0, np.int64)
     for batch in batches:
         if len(batch):
             row, k, w = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _floats(batch.column(2), np.float32)
+            row, k, w = np.concatenate((own, row)), np.concatenate((n, k)), np.concatenate((total, w * k[:, None]))
             order = np.argsort(row, kind="stable")
-            r = row[order]
-            at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            total[r[at]] += np.add.reduceat((w * k[:, None])[order], at, axis=0)
-            n[r[at]] += np.add.reduceat(k[order], at)
-    own = np.flatnonzero(n)
+            row = row[order]
+            at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            own, n, total = row[at], np.add.reduceat(k[order], at), np.add.reduceat(w[order], at, axis=0)
     if len(own):
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _binary((total[own] / n[own][:, None]).astype(np.float32))], names=["row", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _binary((total / n[:, None]).astype(np.float32))], names=["row", "w"])
 
 
 def _score(model):
@@ -321,20 +333,20 @@ def _gather(batches):
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and counts, the most frequent first: the vocabulary, and all above a level that at most FREQUENT exceed.
+    """Tokens and their training counts, the most frequent first: the vocabulary, and all above a level (in all texts) that at most FREQUENT exceed.
 
     The level comes from a histogram of the counts' logarithms (a few thousand
     rows), so no task sends more than its own share of the result.
     """
-    level = F.floor(F.log2("c") * 64)
+    level = F.floor(F.log2("m") * 64)
     many, least = 0, 1 << 30
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):
         many += r.n
         if many > FREQUENT:
             break
         least = r.level
-    top = counts.orderBy(F.desc("c"), "h").limit(CLASSES * PER_CLASS).toArrow()
-    most = counts.filter(level >= least).toArrow()
+    top = counts.orderBy(F.desc("c"), "h").limit(CLASSES * PER_CLASS).select("h", "c").toArrow()
+    most = counts.filter(level >= least).select("h", "c").toArrow()  # at most FREQUENT rows
     h, c = (np.concatenate([t[n].to_numpy() for t in (top, most)]) for n in ("h", "c"))
     h, own = np.unique(h, return_index=True)
     c = c[own]
@@ -345,18 +357,22 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame) -> Model:
     """A model of the texts that aren't held out; docs: text, held."""
     sc = docs.sparkSession.sparkContext
-    counts = docs.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = docs.mapInArrow(_count, "h long, c long, m long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
     counts = cut(counts)
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    seen = F.col("c") > 0
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(seen).alias("v")).first()
     keys, times = _frequent(counts)
     mass = np.ones(OPEN)  # of tokens never seen
-    closed = slice(0, CLASSES * PER_CLASS)
-    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(OPEN - 1)).alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
+    for r in counts.filter(seen).groupBy(F.col("h").bitwiseAND(F.lit(OPEN - 1)).alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
         mass[r.k] += r.s
+    closed = np.flatnonzero(times[: CLASSES * PER_CLASS] > 0)
     np.subtract.at(mass, (keys[closed] & np.uint64(OPEN - 1)).astype(np.int64), times[closed] + 1)
     model = Model(keys, times, mass, total.n or 0, total.v or 0)
-    sent = sc.broadcast(pickle_by_value(model))
-    rows = docs.mapInArrow(_train(sent), "row int, n long, w binary").repartition("row").mapInArrow(_sum, "row int, w binary")
+    sent = sc.broadcast(pickle_by_value(model))  # of a size that FREQUENT and MOST_SCALE bound
+    texts = docs
+    if model.scale > 1:  # fewer, larger tasks, as each sends a table
+        texts = docs.coalesce(max(sc.defaultParallelism, docs.rdd.getNumPartitions() // model.scale))
+    rows = texts.mapInArrow(_train(sent), "row int, n long, w binary").repartition("row").mapInArrow(_sum, "row int, w binary")
     for r in rows.toLocalIterator():
         model.weights[r.row] = np.frombuffer(r.w, np.float32)
     return model
@@ -376,8 +392,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     empty texts have the end alone. Texts whose crc32(doc_id) mod 7 is 2 are
     held out; a null doc_id is not. Tokens are told apart by 60 bits of a
     hash: of V different ones, V*V/2**61 are expected to share their counts.
-    Repeated rows count, and are scored, one by one. An empty table gives an
-    empty table. Scores are log10 of probabilities.
+    Repeated rows count, and are scored, one by one. A very long text is
+    scored whole, by its task. An empty table gives an empty table. Scores are
+    log10 of probabilities. Training depends on how the table is split into
+    tasks: the same files give the same scores, other splits nearly the same.
     """
     rows = docs.select("text", _held().alias("held"), "doc_id", F.spark_partition_id().cast("long").alias("part"))
     model = fit(rows.select("text", "held"))

@@ -683,6 +683,79 @@ def test_lm_query(spark, sf_dir, real):
     assert sum(better) / len(better) > 0.7
 
 
+def plain_score(model, text):
+    """log10 of a text's probability by plain arithmetic, one token at a time."""
+    import math
+
+    def spread(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * times & (1 << 64) - 1
+        return x ^ x >> 31
+
+    def log_share(logs, at):
+        top = max(logs)
+        return logs[at] - top - math.log(sum(math.exp(x - top) for x in logs))
+
+    one_salt, two_salt, pair_salt = (int(lm._SALT[i]) for i in (1, 2, 0))
+    h = [int(x) for x in lm.tokens(*utf8(pa.array([text])))[0]]
+    sizes, inner = model.sizes, model.inner
+    w, total = model.weights.astype(float), 0.0
+    for i, x in enumerate(h):
+        one = h[i - 1] if i else int(lm._NONE)
+        two = h[i - 2] if i > 1 else int(lm._NONE)
+        a, b = spread((one + one_salt) % (1 << 64)), spread((two + two_salt) % (1 << 64))
+        pair = spread((a * pair_salt + b) % (1 << 64))
+        word = int(model.words.find(np.array([x], np.uint64), -1)[0])
+        cls = word // lm.PER_CLASS if word >= 0 else lm.CLASSES + (x & 15)
+        rows = [a % sizes[0], sizes[0] + b % sizes[1], sizes[0] + sizes[1] + pair % sizes[2]]
+        total += log_share([model.start[c] + sum(w[r][c] for r in rows) for c in range(lm.ALL)], cls) / math.log(10)
+        count = int(model.counts.find(np.array([x], np.uint64), 0)[0])
+        if word >= 0:
+            at = sum(sizes) + cls * inner
+            rows = [at + (a >> 32) % inner, at + lm.CLASSES * inner + (b >> 32) % inner]
+            total += log_share([model.closed[cls][k] + sum(w[r][k] for r in rows) for k in range(lm.PER_CLASS)], word % lm.PER_CLASS) / math.log(10)
+        else:
+            total += math.log10((count + 1) / model.mass[x & 15])
+    return total
+
+
+def test_lm_score_is_brute_force(spark, monkeypatch):
+    """Whole scores on a small corpus, with tokens that travel because few are frequent, against the model's own weights by hand."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(d, " ".join(r.choice(words[: r.choice([5, 50, 900])]) for _ in range(r.randrange(60)))) for d in range(150)] + [(200, None), (201, "only here " * 3)]
+    docs = docs_of(spark, rows).repartition(3).persist()
+    fitted = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda x: fitted.append(fit(x)) or fitted[0])
+    monkeypatch.setattr(lm, "FREQUENT", 600)
+    got = {x.doc_id: x for x in lm.lm_scores(docs).collect()}
+    model = fitted[0]
+    assert np.abs(model.weights).max() > 0
+    counts = {}
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            for x in lm.tokens(*utf8(pa.array([t], pa.string())))[0]:
+                counts[int(x)] = counts.get(int(x), 0) + 1
+    model.counts = Lookup(np.array([*counts], np.uint64), np.array([*counts.values()]))
+    for d, t in rows:
+        assert got[d].score == pytest.approx(plain_score(model, t or ""), rel=1e-4)
+    docs.unpersist()
+
+
+def test_lm_tables_grow(spark, real, monkeypatch):
+    assert [lm.table_scale(n) for n in (0, 1 << 24, 1 << 26, 1 << 30, 1 << 40)] == [1, 1, 2, 8, 16]
+    monkeypatch.setattr(lm, "SCALE_TOKENS", 1 << 10)
+    docs = docs_of(spark, real[:80], clash=False).select("text", F.lit(False).alias("held"))
+    model = lm.fit(docs)
+    assert model.scale > 1 and len(model.weights) == model.scale * (sum(lm.SIZES) + 2 * lm.CLASSES * lm.INNER)
+    text = real[3][1][:400]
+    h, first = lm.tokens(*utf8(pa.array([text])))
+    far = model.words.find(h, -1) < 0
+    logs = model.log10(h, first) + np.where(far, np.log10(model.counts.find(h, 0) + 1.0), 0)
+    assert logs.sum() == pytest.approx(plain_score(model, text), rel=1e-4)
+
+
 def test_lm_is_a_distribution(spark, real):
     model = lm.fit(docs_of(spark, real[:60], clash=False).select("text", F.lit(False).alias("held")))
     assert np.abs(model.weights).max() > 0
