@@ -140,8 +140,8 @@ def write_order(docs: DataFrame, shards: int = 40) -> DataFrame:
     move once, dealt by ranges of (digest, doc_id) and sorted: a partition has
     a stretch of slots of one shard or of a few neighbours, also where a third
     of all records are copies. Records with one key (repeated rows, and null
-    doc_ids with one text) stay together. Other cases are as in
-    shard_records(). An empty table gives an empty table.
+    doc_ids with one text) stay together, in the last of the shards that
+    shard_records() gives them. Other cases are as there. An empty table gives an empty table.
     """
     _, firsts = shard_records(docs, shards)
     docs = docs.drop("shard")
