@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no ten words in a row with a test item."""
+    """Documents that share no ten words in a row with a test item; items of fewer words don't count."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -49,12 +49,20 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: The field and the fingerprints have no SQL; tests/llm tests the stages one by one, not run() as a whole.
+#: The field and the fingerprints have no SQL; tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over `documents`; what each keeps lies in the shared folder."""
+    """The stages in turn over `documents`; what each keeps lies in the shared folder until the next one's output does.
+
+    The last but one's output stays, as the returned DataFrame reads it.
+    """
     docs = table(spark, sf_dir, "documents")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -62,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{home}/{k}")
             docs = spark.read.parquet(f"{home}/{k}")
+            if k:
+                _remove(spark, f"{home}/{k - 1}")
     return docs
