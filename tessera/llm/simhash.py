@@ -326,53 +326,121 @@ def _table_keys(bits: int, tables: int):
     return run
 
 
-def _near_pairs(once: bool):
-    """Rows sorted by key, to pairs a, b of one key and two components whose fingerprints are near.
-
-    once: at most one pair for each row, with the closest row before it.
-    """
-
-    def settle(key, node, comp, f, g):
-        f, g = f.view(np.uint64), g.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        end = np.repeat(np.append(head[1:], len(key)), np.diff(np.append(head, len(key))))
-        mixed = np.minimum.reduceat(comp, head) < np.maximum.reduceat(comp, head)
-        left = np.flatnonzero(np.repeat(mixed, np.diff(np.append(head, len(key)))))
-        first = np.repeat(head, np.diff(np.append(head, len(key))))
-        d = 0
-        while len(left):
-            d += 1
-            left = left[left - d >= first[left]] if once else left[left + d < end[left]]
-            i, j = (left - d, left) if once else (left, left + d)
-            near = np.bitwise_count(f[i] ^ f[j]).astype(np.int16) + np.bitwise_count(g[i] ^ g[j]) <= FAR
-            near &= comp[i] != comp[j]
-            if near.any():
-                a, b = node[i[near]], node[j[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            if once:
-                left = left[~near]
+def _by_key(settle):
+    """Feeds rows sorted by their first column to settle, all rows of a key at once."""
 
     def run(batches):
         held: list = []  # of a key whose rows may go on in the next batch
         for batch in batches:
             if not len(batch):
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held and held[-1][0][-1] == cols[0][0] == cols[0][-1]:
-                held.append(cols)
+            key = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[-1].as_py() == key[0] == key[-1]:
+                held.append(batch)
                 continue
-            if held:
-                cols = [np.concatenate(x) for x in zip(*held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if last:
-                yield from settle(*[x[:last] for x in cols])
-            held = [[x[last:] for x in cols]]
+            last = int(np.searchsorted(key, key[-1]))
+            if last or (held and held[-1].column(0)[-1].as_py() != key[-1]):
+                yield from settle(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+                held = []
+            held.append(batch.slice(last))
         if held:
-            yield from settle(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from settle(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _runs(x: np.ndarray, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first row of its run of equal values, and the first after it."""
+    new = x[1:] != x[:-1]
+    if y is not None:
+        new |= y[1:] != y[:-1]
+    head = np.flatnonzero(np.concatenate(([True], new)))
+    n = np.diff(np.append(head, len(x)))
+    return np.repeat(head, n), np.repeat(np.append(head[1:], len(x)), n)
+
+
+def _near(f: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(f[i] ^ f[j]).astype(np.int16) + np.bitwise_count(g[i] ^ g[j]) <= FAR
+
+
+def _columns(t: pa.Table, names: list[str]):
+    return [t[c].to_numpy() if c not in ("f0", "f1") else t[c].to_numpy().view(np.uint64) for c in names]
+
+
+def _first_pairs(t: pa.Table):
+    """For each row that has a near one under its key, one of them: a, b. The closest before it, else the closest after."""
+    key, node, f, g = _columns(t, ["key", "node", "f0", "f1"])
+    low, high = _runs(key)
+    alone = np.arange(len(key))
+    for back in (True, False):
+        left, lonely, d = alone, [], 0
+        while len(left):
+            d += 1
+            ok = left - d >= low[left] if back else left + d < high[left]
+            lonely.append(left[~ok])
+            left = left[ok]
+            other = left - d if back else left + d
+            near = _near(f, g, left, other)
+            if near.any():
+                a, b = node[left[near]], node[other[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            left = left[~near]
+        alone = np.concatenate(lonely) if lonely else alone
+
+
+def _open_rows(t: pa.Table):
+    """Of rows sorted by key and comp, those that are near a row of their key and another component: key, node, comp."""
+    key, node, comp, f, g = _columns(t, ["key", "node", "comp", "f0", "f1"])
+    _, high = _runs(key)
+    _, after = _runs(key, comp)
+    opened = np.zeros(len(key), bool)
+    left, d = np.flatnonzero(after < high), 0
+    while len(left):
+        other = after[left] + d
+        ok = other < high[left]
+        left, other = left[ok], other[ok]
+        near = _near(f, g, left, other)
+        opened[left[near]] = opened[other[near]] = True
+        d += 1
+    own = np.flatnonzero(opened)
+    yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (key, node, comp)], names=["key", "node", "comp"])
+
+
+def _set_links(t: pa.Table):
+    """Of rows with their sets, links a, b between components of one key whose sets are similar: a forest of the components."""
+    key, node, comp = _columns(t, ["key", "node", "comp"])
+    off = np.frombuffer(t["own"].chunk(0).buffers()[1], np.int32)[t["own"].chunk(0).offset :][: len(t) + 1].astype(np.int64)
+    flat = np.frombuffer(t["own"].chunk(0).buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(np.uint64)
+    off = (off - off[0]) // 8
+    a, b = [], []
+    low, _ = _runs(key)
+    for x in np.unique(low).tolist():
+        y = int(np.searchsorted(low, x, "right"))
+        n = np.diff(off[x : y + 1])
+        own = np.flatnonzero(n) + x  # an empty set is like no other
+        if len(own) < 2:
+            continue
+        n = n[own - x]
+        begin = np.cumsum(n) - n
+        _, at = np.unique(flat[off[x] : off[y]], return_inverse=True)
+        here = np.zeros(int(at.max()) + 1, bool)
+        _, top = np.unique(comp[own], return_inverse=True)
+        for i in range(len(own) - 1):
+            if (top == top[i]).all():
+                break
+            mine = at[begin[i] : begin[i] + n[i]]
+            here[mine] = True
+            both = np.add.reduceat(here[at[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1], dtype=np.int64)
+            here[mine] = False
+            like = np.flatnonzero((both * NEAR[1] >= (n[i] + n[i + 1 :] - both) * NEAR[0]) & (top[i + 1 :] != top[i])) + i + 1
+            for j in like.tolist():
+                if top[j] != top[i]:
+                    a.append(min(node[own[i]], node[own[j]]))
+                    b.append(max(node[own[i]], node[own[j]]))
+                    top[top == top[j]] = top[i]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _alike(batches):
     """Of pairs with their sets (a, b, x, y), those whose Jaccard similarity is at least NEAR."""
     for batch in batches:
@@ -391,8 +459,11 @@ def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFra
 
     Candidates share a key in one of the tables and are near in 128 bits;
     linked are those whose sets have a Jaccard similarity of 4/5 by all their
-    shingles. First each node meets one candidate for each table, then all
-    candidates of other components, so large groups don't meet pair by pair.
+    shingles. First each node meets one candidate for each table, as a pair.
+    Then the nodes that still have candidates in other components meet them
+    under their keys, with their sets: all of these are compared there, and
+    only a forest of links leaves the task, so a large group of texts that are
+    near, but not near enough, never becomes a table of pairs.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = [f"f{k}" for k in range(PRINTS)]
@@ -401,24 +472,24 @@ def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFra
     nodes = cut(named.groupBy("s", "t", *prints).agg(F.min(F.struct("doc_id", "h")).alias("least")).withColumn("node", F.xxhash64("s", "t")))
     shape = table_shape(nodes.count())
 
-    def pairs(comp: DataFrame, once: bool) -> DataFrame:
+    def dealt(comp: DataFrame) -> DataFrame:
         keys = comp.select("node", "comp", *prints).mapInArrow(_table_keys(*shape), "key long, node long, comp long, f0 long, f1 long")
-        return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_pairs(once), "a long, b long").distinct()
-
-    def confirmed(found: DataFrame) -> DataFrame:
-        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-        own = docs.join(nodes.join(ends, "node").select("least.doc_id", "least.h"), ["doc_id", "h"], "left_semi")
-        sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own binary").select(F.xxhash64("s", "t").alias("node"), "own")
-        sets = cut(sets.dropDuplicates(["node"]))
-        with_a = found.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-        both = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
-
-    tried = cut(pairs(nodes.withColumn("comp", F.col("node")), True))
-    links = confirmed(tried)
-    own = nodes.join(components(links), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node"))
-    rest = cut(pairs(own, False).join(tried, ["a", "b"], "left_anti"))
-    return nodes, components(links.union(confirmed(rest)))
+        return keys.repartition("key").sortWithinPartitions("key", "comp", "node")
+
+    tried = cut(dealt(nodes.withColumn("comp", F.col("node"))).mapInArrow(_by_key(_first_pairs), "a long, b long").distinct())
+    # Every node that has a candidate at all is in one of these pairs, so these are all sets that will be asked for.
+    ends = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
+    own = docs.join(nodes.join(ends, "node").select("least.doc_id", "least.h"), ["doc_id", "h"], "left_semi")
+    sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own binary").select(F.xxhash64("s", "t").alias("node"), "own")
+    sets = cut(sets.dropDuplicates(["node"]))
+    with_a = tried.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+    of = nodes.join(components(links), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node"))
+    opened = cut(dealt(of).mapInArrow(_by_key(_open_rows), "key long, node long, comp long"))
+    met = opened.join(sets, "node").select("key", "node", "comp", "own").repartition("key").sortWithinPartitions("key", "comp", "node")
+    rest = cut(met.mapInArrow(_by_key(_set_links), "a long, b long").distinct())
+    return nodes, components(links.union(rest))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -266,6 +266,48 @@ def test_keep_one_recall(spark):
         assert len(own) > 20 and sum(i not in kept for i in own) >= recall * len(own)
 
 
+def test_near_but_not_near_enough(spark, monkeypatch):
+    """Copies of one text that differ from each other by more than they may, a few of them linked: nothing is linked or lost, and few rows leave a task."""
+    made = []
+    whole = simhash._set_links
+
+    def counted(t):
+        for x in whole(t):
+            made.append(len(x))
+            yield x
+
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for d in range(160):
+        own = list(base)
+        for at in r.sample(range(300), r.choice([2, 12, 14, 16, 18])):
+            own[at] = f"{d}x{at}"
+        rows.append((d, " ".join(own)))
+    assert sorted(x.doc_id for x in simhash.keep_one(docs_of(spark, rows)).collect()) == [d for d, _ in brute_keep_one(rows)]
+    sets = [np.arange(100, dtype=np.uint64), np.arange(5, 100, dtype=np.uint64), np.arange(50, 150, dtype=np.uint64), np.arange(0, 0, dtype=np.uint64)]
+    cols = [pa.array([k for k in (1, 2) for _ in sets]), pa.array([*range(4)] * 2), pa.array([*range(4)] * 2), pa.array([x.tobytes() for x in sets] * 2, pa.binary())]
+    for x in counted(pa.table(cols, names=["key", "node", "comp", "own"])):
+        assert x.to_pydict() == {"a": [0, 0], "b": [1, 1]}
+    assert made == [2]
+
+
+def test_rows_of_a_key_stay_together():
+    r = random.Random(1)
+    keys = sorted(r.choice(range(30)) for _ in range(500))
+    t = pa.table([pa.array(keys), pa.array([*range(500)])], names=["key", "x"])
+    for size in (1, 3, 40, 1000):
+        seen, rows = [], []
+
+        def settle(part):
+            seen.append(set(part["key"].to_pylist()))
+            rows.extend(part["x"].to_pylist())
+            return []
+
+        list(simhash._by_key(settle)(t.to_batches(max_chunksize=size)))
+        assert rows == [*range(500)] and sum(map(len, seen)) == len(set(keys))
+
+
 def test_keep_one_group(spark, near_docs):
     ids = [x.doc_id for x in simhash.keep_one(docs_of(spark, near_docs)).collect()]
     assert [i for i in ids if i and 10 <= i < 90] == [10] and len([i for i in ids if i in (1, 2, 3)]) == 1 and len([i for i in ids if i in (4, 5)]) == 1
