@@ -303,8 +303,8 @@ def _sets(shingle: int):
             buf, off = utf8(batch.column(0))
             for i, j in slices(off, 1 << 20):
                 h, begin = _shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
-                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, _set_name(h, begin)), raw], names=["s", "t", "own"])
+                own = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _set_name(h, begin)), own], names=["s", "t", "own"])
 
     return run
 
@@ -409,9 +409,8 @@ def _open_rows(t: pa.Table):
 def _set_links(t: pa.Table):
     """Of rows with their sets, links a, b between components of one key whose sets are similar: a forest of the components."""
     key, node, comp = _columns(t, ["key", "node", "comp"])
-    off = np.frombuffer(t["own"].chunk(0).buffers()[1], np.int32)[t["own"].chunk(0).offset :][: len(t) + 1].astype(np.int64)
-    flat = np.frombuffer(t["own"].chunk(0).buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(np.uint64)
-    off = (off - off[0]) // 8
+    sets = t["own"].chunk(0)
+    off, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
     a, b = [], []
     low, _ = _runs(key)
     for x in np.unique(low).tolist():
@@ -441,19 +440,6 @@ def _set_links(t: pa.Table):
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _alike(batches):
-    """Of pairs with their sets (a, b, x, y), those whose Jaccard similarity is at least NEAR."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer() or b"", np.uint64) for v in (x, y))
-            both = 0
-            if min(len(x), len(y)) * NEAR[1] >= max(len(x), len(y)) * NEAR[0]:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both * NEAR[1] >= (len(x) + len(y) - both) * NEAR[0])
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, least: doc_id and text hash h of the smallest document), one for each different set of shingles, and v, root of the nodes that are linked.
 
@@ -480,11 +466,12 @@ def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFra
     # Every node that has a candidate at all is in one of these pairs, so these are all sets that will be asked for.
     ends = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
     own = docs.join(nodes.join(ends, "node").select("least.doc_id", "least.h"), ["doc_id", "h"], "left_semi")
-    sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own binary").select(F.xxhash64("s", "t").alias("node"), "own")
+    sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own array<long>").select(F.xxhash64("s", "t").alias("node"), "own")
     sets = cut(sets.dropDuplicates(["node"]))
     with_a = tried.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    links = cut(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
+    links = cut(both.filter(F.col("both") * NEAR[1] >= (F.size("x") + F.size("y") - F.col("both")) * NEAR[0]).select("a", "b"))
     of = nodes.join(components(links), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node"))
     opened = cut(dealt(of).mapInArrow(_by_key(_open_rows), "key long, node long, comp long"))
     met = opened.join(sets, "node").select("key", "node", "comp", "own").repartition("key").sortWithinPartitions("key", "comp", "node")

@@ -286,7 +286,7 @@ def test_near_but_not_near_enough(spark, monkeypatch):
         rows.append((d, " ".join(own)))
     assert sorted(x.doc_id for x in simhash.keep_one(docs_of(spark, rows)).collect()) == [d for d, _ in brute_keep_one(rows)]
     sets = [np.arange(100, dtype=np.uint64), np.arange(5, 100, dtype=np.uint64), np.arange(50, 150, dtype=np.uint64), np.arange(0, 0, dtype=np.uint64)]
-    cols = [pa.array([k for k in (1, 2) for _ in sets]), pa.array([*range(4)] * 2), pa.array([*range(4)] * 2), pa.array([x.tobytes() for x in sets] * 2, pa.binary())]
+    cols = [pa.array([k for k in (1, 2) for _ in sets]), pa.array([*range(4)] * 2), pa.array([*range(4)] * 2), pa.array([x.tolist() for x in sets] * 2, pa.list_(pa.int64()))]
     for x in counted(pa.table(cols, names=["key", "node", "comp", "own"])):
         assert x.to_pydict() == {"a": [0, 0], "b": [1, 1]}
     assert made == [2]
