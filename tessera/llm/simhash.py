@@ -359,8 +359,8 @@ def _runs(x: np.ndarray, y: np.ndarray | None = None) -> tuple[np.ndarray, np.nd
     return np.repeat(head, n), np.repeat(np.append(head[1:], len(x)), n)
 
 
-def _near(f: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(f[i] ^ f[j]).astype(np.int16) + np.bitwise_count(g[i] ^ g[j]) <= FAR
+def _apart(f: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(f[i] ^ f[j]).astype(np.int16) + np.bitwise_count(g[i] ^ g[j])
 
 
 def _columns(t: pa.Table, names: list[str]):
@@ -368,7 +368,7 @@ def _columns(t: pa.Table, names: list[str]):
 
 
 def _first_pairs(t: pa.Table):
-    """For each row that has a near one under its key, one of them: a, b. The closest before it, else the closest after."""
+    """For each row that has a near one under its key, one of them: node, other, apart (bits). The closest before it, else the closest after."""
     key, node, f, g = _columns(t, ["key", "node", "f0", "f1"])
     low, high = _runs(key)
     alone = np.arange(len(key))
@@ -380,10 +380,10 @@ def _first_pairs(t: pa.Table):
             lonely.append(left[~ok])
             left = left[ok]
             other = left - d if back else left + d
-            near = _near(f, g, left, other)
+            apart = _apart(f, g, left, other)
+            near = apart <= FAR
             if near.any():
-                a, b = node[left[near]], node[other[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[left[near]]), pa.array(node[other[near]]), pa.array(apart[near].astype(np.int32))], names=["node", "other", "apart"])
             left = left[~near]
         alone = np.concatenate(lonely) if lonely else alone
 
@@ -399,7 +399,7 @@ def _open_rows(t: pa.Table):
         other = after[left] + d
         ok = other < high[left]
         left, other = left[ok], other[ok]
-        near = _near(f, g, left, other)
+        near = _apart(f, g, left, other) <= FAR
         opened[left[near]] = opened[other[near]] = True
         d += 1
     own = np.flatnonzero(opened)
@@ -445,11 +445,12 @@ def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFra
 
     Candidates share a key in one of the tables and are near in 128 bits;
     linked are those whose sets have a Jaccard similarity of 4/5 by all their
-    shingles. First each node meets one candidate for each table, as a pair.
+    shingles. First each node meets the nearest of its candidates, as a pair.
     Then the nodes that still have candidates in other components meet them
-    under their keys, with their sets: all of these are compared there, and
-    only a forest of links leaves the task, so a large group of texts that are
-    near, but not near enough, never becomes a table of pairs.
+    under their keys, with 31 bits of each shingle: all of these are compared
+    there, and only a forest of links leaves the task, so a large group of
+    texts that are near, but not near enough, never becomes a table of pairs.
+    These links are compared once more by all 64 bits.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = [f"f{k}" for k in range(PRINTS)]
@@ -462,20 +463,24 @@ def jaccard_nodes(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFra
         keys = comp.select("node", "comp", *prints).mapInArrow(_table_keys(*shape), "key long, node long, comp long, f0 long, f1 long")
         return keys.repartition("key").sortWithinPartitions("key", "comp", "node")
 
-    tried = cut(dealt(nodes.withColumn("comp", F.col("node"))).mapInArrow(_by_key(_first_pairs), "a long, b long").distinct())
-    # Every node that has a candidate at all is in one of these pairs, so these are all sets that will be asked for.
-    ends = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
-    own = docs.join(nodes.join(ends, "node").select("least.doc_id", "least.h"), ["doc_id", "h"], "left_semi")
+    first = dealt(nodes.withColumn("comp", F.col("node"))).mapInArrow(_by_key(_first_pairs), "node long, other long, apart int")
+    first = cut(first.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("x")).select("node", "x.other"))
+    # Every node that has a candidate at all is here, so these are all sets that will be asked for.
+    own = docs.join(nodes.join(first, "node").select("least.doc_id", "least.h"), ["doc_id", "h"], "left_semi")
     sets = own.select("text").mapInArrow(_sets(shingle), "s long, t long, own array<long>").select(F.xxhash64("s", "t").alias("node"), "own")
     sets = cut(sets.dropDuplicates(["node"]))
-    with_a = tried.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
-    links = cut(both.filter(F.col("both") * NEAR[1] >= (F.size("x") + F.size("y") - F.col("both")) * NEAR[0]).select("a", "b"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+        both = with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+        return cut(both.filter(F.col("both") * NEAR[1] >= (F.size("x") + F.size("y") - F.col("both")) * NEAR[0]).select("a", "b"))
+
+    links = confirmed(first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     of = nodes.join(components(links), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node"))
     opened = cut(dealt(of).mapInArrow(_by_key(_open_rows), "key long, node long, comp long"))
-    met = opened.join(sets, "node").select("key", "node", "comp", "own").repartition("key").sortWithinPartitions("key", "comp", "node")
-    rest = cut(met.mapInArrow(_by_key(_set_links), "a long, b long").distinct())
+    short = sets.select("node", F.transform("own", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("own"))
+    met = opened.join(short, "node").select("key", "node", "comp", "own").repartition("key").sortWithinPartitions("key", "comp", "node")
+    rest = confirmed(met.mapInArrow(_by_key(_set_links), "a long, b long").distinct())
     return nodes, components(links.union(rest))
 
 
