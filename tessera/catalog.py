@@ -217,9 +217,16 @@ def filter_metadata_any(spark, d):
     return _docs_labels(spark, d).filter(filters.metadata_predicate({"quality": 0, "lang": "fr"}, require_all=False)).select("doc_id")
 
 
-@query("filter_keyword", f"SELECT doc_id FROM (SELECT doc_id, {TOK.replace('>= 2', '>= 1')} AS w FROM documents WHERE lang = 'en') WHERE list_has_any(w, ['thand', 'ersh']) AND NOT list_contains(w, 'heth')")
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _word_sql(w: str) -> str:
+    return f"regexp_matches(text, '(?i)(^|{_EDGE}){w}($|{_EDGE})')"
+
+
+@query("filter_keyword", f"SELECT doc_id FROM documents WHERE ({_word_sql('thand')} OR {_word_sql('of the')}) AND NOT {_word_sql('heth')}")
 def filter_keyword(spark, d):
-    return _t(spark, d, "documents").filter((F.col("lang") == "en") & filters.keyword_predicate(F.col("text"), ["thand", "ersh"], ["heth"])).select("doc_id")
+    return _t(spark, d, "documents").filter(filters.keyword_predicate(F.col("text"), ["thand", "of the"], ["heth"])).select("doc_id")
 
 
 @query("filter_length", "SELECT doc_id, strlen(text) AS bytes FROM documents WHERE strlen(text) BETWEEN 500 AND 5000")
@@ -261,13 +268,18 @@ def _chunk_sql(items: str) -> str:
 
 
 query("char_window", _chunk_sql("list_transform(range(1, length(text) + 1, 462), lambda p: substring(text, p, 512))"))(lambda s, d: _chunks(s, d, splitters.char_windows(F.col("text"))))
-query("token_window", _chunk_sql("list_transform(range(1, len(w) + 1, 80), lambda p: array_to_string(w[p : p + 99], ' '))"))(lambda s, d: _chunks(s, d, splitters.token_windows(F.col("text"), 100, 20)))
-query("code_line_window", _chunk_sql("list_transform(range(1, len(string_split(text, chr(10))) + 1, 25), lambda p: array_to_string(string_split(text, chr(10))[p : p + 39], chr(10)))"))(lambda s, d: _chunks(s, d, splitters.line_windows(F.col("text"))))
+def _rows(spark, chunks):
+    x = splitters.chunk_nodes(chunks)
+    return x.select("doc_id", "chunk_index", "node_id", F.md5("content").alias("hash"), "prev_id", "next_id")
+
+
+query("token_window", _chunk_sql("list_transform(range(1, len(w) + 1, 80), lambda p: array_to_string(w[p : p + 99], ' '))"))(lambda s, d: _rows(s, splitters.token_windows(_t(s, d, "documents"), 100, 20)))
+query("code_line_window", _chunk_sql("list_transform(range(1, len(string_split(text, chr(10))) + 1, 25), lambda p: array_to_string(string_split(text, chr(10))[p : p + 39], chr(10)))"))(lambda s, d: _rows(s, splitters.line_windows(_t(s, d, "documents"))))
 
 
 @query("sentence_split")
 def sentence_split(spark, d):
-    return splitters.split_with(_t(spark, d, "documents"), lambda t: splitters.split_sentences(t, 128, 20))
+    return splitters.build_nodes(_t(spark, d, "documents"), lambda t: splitters.split_sentences(t, 128, 20))
 
 
 @query("hierarchical_nodes")
@@ -296,11 +308,13 @@ def text_statistics(spark, d):
     return x.select("doc_id", "s.bytes", "s.words", "s.lines", "s.paragraphs", F.round("s.avg_word_bytes", 6).alias("avg_word_bytes"))
 
 
-@query("regex_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b')) AS email,
- len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\x0B]+')) AS url, len(regexp_extract_all(text, '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b')) AS phone FROM documents WHERE lang = 'en'""")
+# DuckDB's word boundaries are ASCII: letters and digits of other scripts are made ASCII word characters first, which are in none of the classes but the e-mail's.
+@query("regex_counts", r"""SELECT doc_id, len(regexp_extract_all(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) AS email,
+ len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\x0B\x{85}\p{Z}]+')) AS url, len(regexp_extract_all(t, '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b')) AS phone,
+ len(regexp_extract_all(t, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b')) AS date, len(regexp_extract_all(text, '```(.|\n)*?```|`[^`]+`')) AS code_block
+ FROM (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS t FROM documents)""")
 def regex_counts(spark, d):
-    x = _t(spark, d, "documents").filter("lang = 'en'").select("doc_id", enrich.structure(F.col("text")).alias("s"))
-    return x.select("doc_id", "s.email", "s.url", "s.phone")
+    return _t(spark, d, "documents").select("doc_id", enrich.structure(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 @query("title_extract", r"""SELECT doc_id, CASE WHEN starts_with(trim(l[1], ' '), '#') THEN trim(regexp_replace(trim(l[1], ' '), '^#+', ''), ' ')
@@ -316,23 +330,23 @@ def frequent_keywords(spark, d):
     return enrich.frequent_words(_t(spark, d, "documents"))
 
 
-@query("lang_guess", "SELECT doc_id, CASE WHEN " + " + ".join(f"len(regexp_extract_all(lower(text), ' {w} '))" for w in ("the", "and", "of", "to", "in", "is")) + " > 5 THEN 'en' END AS guess FROM documents")
+@query("lang_guess", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}]', '', 'g')) > strlen(text) // 4 THEN 'zh' WHEN " + " + ".join(f"(strlen(low) - strlen(replace(low, '{w}', ''))) // {len(w)}" for w in T.ENGLISH_HINTS) + " > 5 THEN 'en' END AS guess FROM (SELECT doc_id, text, lower(text) AS low FROM documents)")
 def lang_guess(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.language_guess(F.col("text")).alias("guess"))
 
 
-@query("content_type", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '```|\bfn |\bdef |\bclass ') THEN 'code' WHEN regexp_matches(text, '(?m)^#|\*|\]\(') THEN 'markdown'
- WHEN starts_with(trim(text), '{') OR starts_with(trim(text), '[') THEN 'json' WHEN regexp_matches(lower(text), '<html|<body|<div') THEN 'html'
- WHEN contains(lower(text), 'abstract') AND contains(lower(text), 'references') THEN 'academic'
- WHEN contains(lower(text), 'installation') OR contains(lower(text), 'usage') THEN 'documentation' ELSE 'text' END AS kind FROM documents WHERE lang = 'en'""")
+@query("content_type", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '```(.|\n)*?```|`[^`]+`') OR regexp_matches(text, '(^|\n)[\s\x0B\x{85}\p{Z}]*(def |function |class )') THEN 'code'
+ WHEN contains(text, '# ') OR contains(text, '*') THEN 'markdown' WHEN contains(low, 'json') AND (contains(text, '{') OR contains(text, '[')) THEN 'json'
+ WHEN contains(text, '<') AND contains(text, '>') THEN 'html' WHEN contains(low, 'abstract') OR contains(low, 'introduction') OR contains(low, 'methodology') OR contains(low, 'conclusion') THEN 'academic'
+ WHEN contains(low, 'api') OR contains(low, 'documentation') OR contains(low, 'readme') THEN 'documentation' ELSE 'text' END AS kind FROM (SELECT doc_id, text, lower(text) AS low FROM documents)""")
 def content_type(spark, d):
-    return _t(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.content_type(F.col("text")).alias("kind"))
+    return _t(spark, d, "documents").select("doc_id", T.content_type(F.col("text")).alias("kind"))
 
 
-@query("text_features", f"""SELECT doc_id, round(len(regexp_extract_all(text, '[ \\t\\n\\r\\f\\x0B]')) / length(text), 6) AS space_ratio,
- round(len(regexp_extract_all(text, '[!-/:-@\\[-`{{-~]')) / length(text), 6) AS punct_ratio, round(len({WS.format('text')}) / 225.0, 6) AS reading_minutes FROM documents WHERE text <> ''""")
+@query("text_features", f"""SELECT doc_id, round(len(regexp_extract_all(text, '[ \\t\\n\\r\\f\\x0B]')) / greatest(length(text), 1), 6) AS space_ratio,
+ round(len(regexp_extract_all(text, '[!-/:-@\\[-`{{-~]')) / greatest(length(text), 1), 6) AS punct_ratio, round(len({WS.format('text')}) / 225.0, 6) AS reading_minutes FROM documents""")
 def text_features(spark, d):
-    x = _t(spark, d, "documents").filter("text <> ''").select("doc_id", enrich.text_features(F.col("text")).alias("f"))
+    x = _t(spark, d, "documents").select("doc_id", enrich.text_features(F.col("text")).alias("f"))
     return x.select("doc_id", *[F.round(f"f.{c}", 6).alias(c) for c in ("space_ratio", "punct_ratio", "reading_minutes")])
 
 
@@ -352,10 +366,10 @@ def entity_counts(spark, d):
     return x.groupBy("doc_id", "e.label").agg(F.count("*").alias("n"))
 
 
-@query("query_classify", """SELECT item_id, CASE WHEN starts_with(t, 'how to') OR contains(t, 'step') THEN 'procedural' WHEN contains(t, 'compare') OR contains(t, ' vs ') THEN 'comparative'
- WHEN contains(t, 'overview') OR contains(t, 'summar') THEN 'summary' WHEN starts_with(t, 'what') OR starts_with(t, 'who') OR starts_with(t, 'when') THEN 'factual' ELSE 'general' END AS kind FROM (SELECT item_id, lower(text) AS t FROM benchmark)""")
+@query("query_classify", """SELECT item_id, CASE WHEN contains(t, 'summary') OR contains(t, 'overview') THEN 'summary' WHEN contains(t, 'code') OR contains(t, 'implement') THEN 'code_specific'
+ WHEN contains(t, 'how') OR contains(t, 'detail') THEN 'detailed' ELSE 'summary' END AS kind, CASE WHEN strlen(t) > 100 THEN 4 WHEN strlen(t) > 50 THEN 3 ELSE 2 END AS complexity FROM (SELECT item_id, lower(text) AS t FROM benchmark)""")
 def query_classify(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", T.query_class(F.col("text")).alias("kind"))
+    return _t(spark, d, "benchmark").select("item_id", T.query_class(F.col("text")).alias("q")).select("item_id", F.col("q.type").alias("kind"), "q.complexity")
 
 
 @query("file_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
@@ -378,12 +392,17 @@ def dedup_hash(spark, d):
     return dedup.by_content(_t(spark, d, "documents"))
 
 
-@query("dedup_upsert_status", f"""WITH h AS (SELECT doc_id, {_HASH} AS hash FROM documents)
- SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'process' WHEN 1 THEN 'skip' ELSE 'update' END AS status FROM h""")
+@query("dedup_upsert_status", f"""WITH h AS (SELECT doc_id, source, {_HASH} AS hash FROM documents),
+ k AS (SELECT doc_id + 1 AS doc_id, hash AS old FROM h WHERE source <> 'src0' UNION ALL SELECT doc_id, hash FROM h WHERE doc_id + 1 IN (SELECT doc_id FROM h WHERE source = 'src0') AND doc_id - 1 NOT IN (SELECT doc_id FROM h WHERE source <> 'src0'))
+ SELECT h.doc_id, CASE WHEN old IS NULL THEN 'process' WHEN old = hash THEN 'skip' ELSE 'update' END AS status FROM h LEFT JOIN k USING (doc_id)""")
 def dedup_upsert_status(spark, d):
-    docs = _t(spark, d, "documents")
-    known = docs.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 1, T.document_hash(F.col("text"))).otherwise("old").alias("hash"))
-    return dedup.status(docs, known).select("doc_id", "status")
+    """Known hashes: each document's predecessor's, where it is not of src0; else its own, where its successor is of src0."""
+    docs = _t(spark, d, "documents").select("doc_id", "source", "text")
+    own = docs.select("doc_id", "source", T.document_hash(F.col("text")).alias("hash"))
+    shifted = own.filter("source <> 'src0'").select((F.col("doc_id") + 1).alias("doc_id"), "hash")
+    before = own.filter("source = 'src0'").select((F.col("doc_id") - 1).alias("doc_id"))
+    same = own.join(before, "doc_id", "left_semi").join(shifted.select("doc_id"), "doc_id", "left_anti").select("doc_id", "hash")
+    return dedup.status(docs, shifted.union(same)).select("doc_id", "status")
 
 
 @query("hash_antijoin", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0')")
@@ -406,8 +425,8 @@ def jaccard_rerank(spark, d):
 
 @query("diversity_rerank")
 def diversity_rerank(spark, d):
-    hits = search.bm25(_t(spark, d, "documents"), TERMS, 50).join(_t(spark, d, "documents"), "doc_id").select(F.lit(0).alias("qid"), "doc_id", "score", F.array_distinct(T.terms(F.col("text"))).alias("words"))
-    return dedup.diversity(hits, ["qid"], "doc_id", "words").select("doc_id", "score")
+    hits = search.bm25(_t(spark, d, "documents"), TERMS, 50).join(_t(spark, d, "documents"), "doc_id").select(F.lit(0).alias("qid"), "doc_id", "score", F.array_distinct(T.whitespace_words(F.col("text"))).alias("words"))
+    return dedup.diversity(hits, ["qid"], "doc_id", "words").select("rank", "doc_id", "score")
 
 
 @query("dedup_text_similarity")
@@ -568,11 +587,11 @@ def confidence(spark, d):
     return s.groupBy("label").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("score"))), 6).alias("confidence"))
 
 
-@query("rgb_to_hsv", "SELECT p_partkey, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS gray, round(greatest(r, g, b) / 255, 6) AS v, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) / 255 - least(r, g, b) / 255) / (greatest(r, g, b) / 255) END, 6) AS s FROM (SELECT p_partkey, p_partkey % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 7 % 256 AS b FROM part)")
+@query("rgb_to_hsv", "SELECT p_partkey, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS gray, round(greatest(r, g, b) / 255, 6) AS v, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) / 255 - least(r, g, b) / 255) / (greatest(r, g, b) / 255) END, 6) AS s, round(CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0 WHEN greatest(r, g, b) = r THEN 60 * (CASE WHEN g >= b THEN (g - b) / (r - least(g, b)) ELSE 6 + (g - b) / (r - least(g, b)) END) WHEN greatest(r, g, b) = g THEN 60 * ((b - r) / (g - least(r, b)) + 2) ELSE 60 * ((r - g) / (b - least(r, g)) + 4) END, 6) AS h FROM (SELECT p_partkey, p_partkey % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 7 % 256 AS b FROM part)")
 def rgb_to_hsv(spark, d):
     x = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 256).alias("r"), (F.col("p_size") * 5 % 256).alias("g"), (F.col("p_partkey") * 7 % 256).alias("b"))
     h = M.hsv(F.col("r"), F.col("g"), F.col("b"))
-    return x.select("p_partkey", F.round(M.gray(F.col("r"), F.col("g"), F.col("b")), 6).alias("gray"), F.round(h["v"], 6).alias("v"), F.round(h["s"], 6).alias("s"))
+    return x.select("p_partkey", F.round(M.gray(F.col("r"), F.col("g"), F.col("b")), 6).alias("gray"), F.round(h["v"], 6).alias("v"), F.round(h["s"], 6).alias("s"), F.round(h["h"], 6).alias("h"))
 
 
 @query("synonym_expand", "WITH s AS (SELECT * FROM (VALUES ('the', 'that'), ('the', 'this'), ('of', 'from')) t(w, x)), q AS (SELECT item_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\x0B]+')) AS w FROM benchmark) SELECT item_id, x AS term, count(*) AS n FROM q JOIN s USING (w) GROUP BY 1, 2")
@@ -586,3 +605,34 @@ def synonym_expand(spark, d):
 def rank_columns(spark, d):
     return search.ranked(search.knn(_t(spark, d, "embeddings"), _q(spark, d), 25, metric="dot")).select("vec_id", "rank")
 
+
+
+@query("node_uuids", """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(doc_id || '-0')) AS h FROM documents)
+ SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS node_id FROM h""")
+def node_uuids(spark, d):
+    return _t(spark, d, "documents").select("doc_id", splitters.node_uuid(F.concat(F.col("doc_id").cast("string"), F.lit("-0"))).alias("node_id"))
+
+
+@query("fusion_rank_score", _LISTS + "SELECT list_id, id, round((count(*) OVER (PARTITION BY list_id) - row_number() OVER (PARTITION BY list_id ORDER BY score DESC, id) + 1) / count(*) OVER (PARTITION BY list_id), 6) AS score FROM l")
+def fusion_rank_score(spark, d):
+    return fusion.rank_score(_lists(spark, d)).select("list_id", "id", _r())
+
+
+@query("adjacent_dedup", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
+def adjacent_dedup(spark, d):
+    return dedup.adjacent(_t(spark, d, "events"), ["user_id"], "event_id", ["event_type"]).select("event_id")
+
+
+@query("rerank_ascending", f"SELECT vec_id, round({SIM['cosine']}, 6) AS score FROM embeddings, (SELECT {QV} AS v) q ORDER BY {SIM['cosine']}, vec_id LIMIT 10")
+def rerank_ascending(spark, d):
+    return search.reranked(search.scored(_t(spark, d, "embeddings"), _q(spark, d)), "asc", 10, "vec_id").select("vec_id", _r())
+
+
+@query("plain_keywords", f"SELECT doc_id, CAST(len({TOK.replace('>= 2', '>= 3')}) AS BIGINT) AS n FROM documents")
+def plain_keywords(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(T.plain_keywords(F.col("text"))).cast("long").alias("n"))
+
+
+@query("token_split")
+def token_split(spark, d):
+    return splitters.build_nodes(_t(spark, d, "documents"), lambda t: splitters.split_tokens(t, 128, 20)).drop("content")

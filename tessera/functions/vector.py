@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ METRICS = {"cosine": cosine, "dot": dot, "euclidean": euclidean, "manhattan": ma
 
 
 def metric(name: str):
-    """A metric by name; unknown names are refused."""
+    """A metric by name; an unknown name warns and gives cosine."""
     if name not in METRICS:
-        raise ValueError(f"no such metric: {name}; there are {', '.join(METRICS)}")
-    return METRICS[name]
+        warnings.warn(f"no such metric: {name}; cosine is used (there are {', '.join(METRICS)})", stacklevel=2)
+    return METRICS.get(name, cosine)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def deleted(docs: DataFrame, known: DataFrame, id_col: str = "doc_id") -> DataFr
     return known.join(docs, id_col, "left_anti").select(id_col)
 
 
+def adjacent(rows: DataFrame, by: list[str], order: str, same: list[str]) -> DataFrame:
+    """Of rows that follow each other (within `by`, by `order`) with equal values in `same`, the first."""
+    w = Window.partitionBy(*by).orderBy(order)
+    again = F.lag(F.struct(*same)).over(w).eqNullSafe(F.struct(*same))
+    return rows.withColumn("_again", again).filter("not _again").drop("_again")
+
+
 def unseen(nodes: DataFrame, known: DataFrame, key: str = "hash") -> DataFrame:
     return nodes.join(known, key, "left_anti")
 
@@ -59,27 +67,32 @@ def greedy(hits: DataFrame, query: list[str], id_col: str, words: str, threshold
     return top.groupBy(*query).applyInPandas(pick, hits.schema).union(rest)
 
 
-def diversity(hits: DataFrame, query: list[str], id_col: str, words: str, threshold: float = 0.8, penalty: float = 0.5, limit: int = 1000) -> DataFrame:
-    """For each query, rows chosen one by one; a row's score falls by penalty * its largest Jaccard to chosen ones, if over the threshold.
+def diversity(hits: DataFrame, query: list[str], id_col: str, words: str, threshold: float = 0.8, penalty: float = 0.5, top_n: int = 10) -> DataFrame:
+    """For each query top_n rows, chosen one by one: the best first, then always the one whose score less penalty * its largest Jaccard to chosen ones (if over the threshold) is best.
 
-    Rows beyond the best `limit` of a query pass on unchanged.
+    `words` are the rows' words as an array. Rows keep their scores and get
+    `rank`, the order of choice from 1; ties go to the higher score, then id.
     """
-    w = Window.partitionBy(*query).orderBy(F.desc("score"), id_col)
-    rows = hits.withColumn("_r", F.row_number().over(w))
-    top, rest = rows.filter(F.col("_r") <= limit), rows.filter(F.col("_r") > limit).drop("_r")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields) + ", rank int"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r").reset_index(drop=True)
-        sets, scores = [frozenset(x) for x in pdf[words]], pdf["score"].tolist()
+        pdf = pdf.sort_values(["score", id_col], ascending=[False, True], kind="stable").reset_index(drop=True)
+        sets, scores = [frozenset(x) for x in pdf[words]], pdf["score"].to_numpy(float)
+        like = np.full(len(pdf), -np.inf)  # the largest similarity to a chosen row
+        left = np.ones(len(pdf), bool)
         chosen = []
-        for i in range(len(pdf)):
-            most = max((len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in chosen), default=0.0)
-            if most > threshold:
-                scores[i] -= penalty * most
+        while left.any() and len(chosen) < top_n:
+            worth = np.where(left, scores - np.where(like > threshold, penalty * like, 0.0), -np.inf)
+            i = int(worth.argmax()) if np.isfinite(worth).any() else int(left.argmax())
+            left[i] = False
             chosen.append(i)
-        return pdf.assign(score=scores).drop(columns="_r").sort_values("score", ascending=False, kind="stable")
+            for j in np.flatnonzero(left):
+                both = len(sets[i] & sets[j])
+                union = len(sets[i]) + len(sets[j]) - both
+                like[j] = max(like[j], both / union if union else 0.0)
+        return pdf.iloc[chosen].assign(rank=range(1, len(chosen) + 1))
 
-    return top.groupBy(*query).applyInPandas(pick, hits.schema).union(rest)
+    return hits.groupBy(*query).applyInPandas(pick, schema)
 
 
 def jaccard_to(hits: DataFrame, query: list[str], text: str = "text") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,14 @@ def metadata_equals(**want) -> Column:
     return reduce(lambda a, b: a & b, (F.coalesce(F.col(k) == v, F.lit(False)) for k, v in want.items()), F.lit(True))
 
 
-def keyword_predicate(text: Column, required: list[str], excluded: list[str] = (), min_matches: int = 1) -> Column:
-    """At least min_matches of the required words and none of the excluded, as whole words, in any case."""
-    words = T.terms(text, 1)
-    hits = sum((F.when(F.array_contains(words, w.lower()), 1).otherwise(0) for w in required), F.lit(0))
-    none = reduce(lambda a, b: a & b, (~F.array_contains(words, w.lower()) for w in excluded), F.lit(True))
+def keyword_predicate(text: Column, required: list[str], excluded: list[str] = (), min_matches: int = 1, case_sensitive: bool = False) -> Column:
+    """At least min_matches of the required words or phrases and none of the excluded, between word boundaries of any script."""
+
+    def found(w: str) -> Column:
+        return F.regexp_like(text, F.lit(("(?U)" if case_sensitive else "(?iU)") + r"\b" + re.sub(r"([^\w\s])", r"\\\1", w) + r"\b"))
+
+    hits = sum((F.when(found(w), 1).otherwise(0) for w in required), F.lit(0))
+    none = reduce(lambda a, b: a & b, (~found(w) for w in excluded), F.lit(True))
     return ((hits >= min_matches) if required else F.lit(True)) & none
 
 
@@ -53,13 +59,14 @@ def recent(rows: DataFrame, ts: str, days: int, now: Column | None = None) -> Da
 
 
 def chain(rows: DataFrame, steps: list, continue_on_error: bool = False) -> DataFrame:
-    """Steps in turn; a step that can't be planned stops the chain, or is left out."""
+    """Steps in turn; a step that Spark can't plan stops the chain, or is left out with a warning."""
     for step in steps:
         try:
             rows = step(rows)
-        except Exception:
+        except AnalysisException as e:
             if not continue_on_error:
                 raise
+            warnings.warn(f"left out {getattr(step, '__name__', step)}: {e}", stacklevel=2)
     return rows
 
 

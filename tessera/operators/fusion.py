@@ -31,6 +31,12 @@ def z_score(lists: DataFrame) -> DataFrame:
     return lists.withColumn("score", (F.col("score") - mean) / dev)
 
 
+def rank_score(lists: DataFrame) -> DataFrame:
+    """Scores of each list by rank: 1 for the best, 1/n for the last of n."""
+    n, rank = F.count("*").over(_list()), F.row_number().over(_list().orderBy(F.desc("score"), "id"))
+    return lists.withColumn("score", (n - rank + 1) / n)
+
+
 def weighted_average(lists: DataFrame, weights: list[float], normalize: bool = True) -> DataFrame:
     """Weighted mean over the lists that have the id."""
     x = (min_max(lists) if normalize else lists).withColumn("w", _weights(weights))

@@ -25,22 +25,49 @@ def char_windows(c: Column, size: int = 512, overlap: int = 50) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n, F.lit(size - overlap)), lambda p: F.substr(c, p, F.lit(size))))
 
 
-def token_windows(c: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """Windows of `size` white-space tokens, joined by a space."""
-    w = T.whitespace_words(c)
-    n = F.size(w)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n, F.lit(size - overlap)), lambda p: F.array_join(F.slice(w, p, F.lit(size)), " ")))
+def _windows(docs: DataFrame, pieces: Column, size: int, overlap: int, joint: str, id_col: str) -> DataFrame:
+    """id, chunk_index and content: every size - overlap pieces a window of `size`, which takes time in proportion to the pieces.
 
+    A piece goes to each window that it is in (size / (size - overlap) of them
+    on average), so no window looks at its whole document. Repeated rows give
+    their windows once.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap is from 0 to less than size")
+    step = size - overlap
+    rows = docs.select(id_col, pieces.alias("pieces")).select(id_col, F.xxhash64("pieces").alias("of"), "pieces")  # before the generator, so once for each document
+    rows = rows.select(id_col, "of", F.posexplode("pieces").alias("pos", "piece"))
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1).cast("int")
+    rows = rows.select(id_col, "of", "pos", "piece", F.explode(F.sequence(first, F.floor(F.col("pos") / step).cast("int"))).alias("w"))
+    own = rows.groupBy(id_col, "of", "w").agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("own"))
+    return own.select(id_col, F.col("w").alias("chunk_index"), F.array_join(F.transform("own", lambda x: x["piece"]), joint).alias("content"))
 
-def line_windows(c: Column, lines: int = 40, overlap: int = 15) -> Column:
-    """Windows of lines, for code without a parser."""
-    w = F.split(c, "\n")
-    return F.transform(F.sequence(F.lit(1), F.size(w), F.lit(lines - overlap)), lambda p: F.array_join(F.slice(w, p, F.lit(lines)), "\n"))
+
+def token_windows(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Windows of `size` white-space tokens, joined by a space: id, chunk_index, content."""
+    return _windows(docs, T.whitespace_words(F.col(text)), size, overlap, " ", id_col)
+
+
+def line_windows(docs: DataFrame, lines: int = 40, overlap: int = 15, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Windows of lines, for code without a parser: id, chunk_index, content."""
+    return _windows(docs, F.split(text, "\n"), lines, overlap, "\n", id_col)
 
 
 def to_nodes(docs: DataFrame, chunks: Column, id_col: str = "doc_id", name: str = "content") -> DataFrame:
     """One row for each non-blank chunk: doc_id, chunk_index, node_id, content, prev_id, next_id."""
     rows = docs.select(id_col, F.posexplode(F.filter(chunks, lambda x: F.trim(x) != "")).alias("chunk_index", name))
+    return linked(rows, id_col)
+
+
+def chunk_nodes(chunks: DataFrame, id_col: str = "doc_id", name: str = "content") -> DataFrame:
+    """Chunks that are rows already (id, chunk_index, content) as nodes: blank ones dropped, the rest numbered anew."""
+    rows = chunks.filter(F.trim(name) != "")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy("chunk_index")) - 1
+    return linked(rows.withColumn("chunk_index", nth.cast("int")), id_col)
+
+
+def linked(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of id and chunk_index with node_id, and the nodes before and after."""
     rows = rows.withColumn("node_id", F.concat_ws("-", F.col(id_col), F.col("chunk_index")))
     w = Window.partitionBy(id_col).orderBy("chunk_index")
     return rows.withColumn("prev_id", F.lag("node_id").over(w)).withColumn("next_id", F.lead("node_id").over(w))
@@ -60,11 +87,9 @@ def semantic_chunks(sentences: DataFrame, percentile: float = 95, doc: str = "do
     by = Window.partitionBy(doc).orderBy(pos)
     x = sentences.withColumn("_d", 1 - cosine(F.col(vector), F.lead(vector).over(by)))
     all_ = F.array_sort(F.collect_list("_d").over(Window.partitionBy(doc)))
-    n = F.size(all_)
     x = x.withColumn("_all", all_).withColumn("_cut", F.get(F.col("_all"), F.least(F.floor(percentile / 100 * F.size("_all")).cast("int"), F.size("_all") - 1)))
     x = x.withColumn("_break", F.coalesce(F.lag((F.col("_d") > F.col("_cut")).cast("int")).over(by), F.lit(0)))
     x = x.withColumn("chunk", F.sum("_break").over(by))
-    del n
     return x.groupBy(doc, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, F.col(text).alias("t")))), lambda r: r["t"]), " ").alias("content"))
 
 
@@ -114,6 +139,114 @@ def split_sentences(text: str | None, size: int = 1000, overlap: int = 200) -> l
     return [x for x in out if x.strip()]
 
 
+def split_tokens(text: str | None, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = (" ", "\n")) -> list[str]:
+    """Greedy chunks of at most `size` white-space tokens, cut at the first separator that is in the text, else between characters.
+
+    Pieces keep the separator that ends them, so chunks are stretches of the
+    text; each begins with the last pieces of the one before, up to `overlap`
+    tokens. A piece that is too long is split by itself.
+    """
+    if size < 1 or not 0 <= overlap <= size:
+        raise ValueError("size is at least 1 and overlap from 0 to size")
+    out: list[str] = []
+    stack = [text or ""]
+    while stack:
+        own = stack.pop()
+        if len(own.split()) <= size:
+            if own.strip():
+                out.append(own)
+            continue
+        sep = next((x for x in separators if x in own[:-1]), None)
+        pieces = [x for x in (re.findall(f"[^{re.escape(sep)}]*{re.escape(sep)}|[^{re.escape(sep)}]+$", own) if sep else own) if x.strip()]
+        held: list[tuple[str, int]] = []
+        n = 0
+        for k, piece in enumerate(pieces):
+            m = len(piece.split())
+            if m > size:
+                if held:
+                    out.append("".join(x for x, _ in held))
+                stack += ["".join(pieces[k + 1 :]), piece]
+                held = []
+                break
+            if held and n + m > size:
+                out.append("".join(x for x, _ in held))
+                keep, back = 0, 0
+                while keep < len(held) and back + held[-1 - keep][1] <= overlap:
+                    back += held[-1 - keep][1]
+                    keep += 1
+                held = held[len(held) - keep :]
+                n = back
+            held.append((piece, m))
+            n += m
+        if held:
+            out.append("".join(x for x, _ in held))
+    return out
+
+
+def effective_size(size: int, metadata_tokens: int, format_tokens: int = 0) -> int:
+    """What metadata leaves of a chunk's tokens; a quarter of the chunk where it leaves nothing."""
+    left = size - metadata_tokens - format_tokens
+    return left if left > 0 else max(1, size // 4)
+
+
+def split_with_metadata(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text: str = "text", metadata: str = "metadata", split=None, format_tokens: int = 0) -> DataFrame:
+    """Chunks that leave room for the document's metadata, as rows of id, chunk_index and chunk.
+
+    metadata: the column with its text form. `split` is split_sentences unless
+    given, or any function of text, size and overlap.
+    """
+    cut = split or split_sentences
+
+    @F.pandas_udf("array<string>")
+    def run(t: pd.Series, m: pd.Series) -> pd.Series:
+        sizes = [effective_size(size, len((x or "").split()), format_tokens) for x in m]
+        return pd.Series([cut(x, n, min(overlap, n)) for x, n in zip(t, sizes, strict=True)])
+
+    return docs.select(id_col, F.posexplode(run(F.col(text), F.col(metadata).cast("string"))).alias("chunk_index", "chunk"))
+
+
+#: Where a text is best cut, the best first; the cut is after the match.
+_CUTS = [re.compile(p) for p in (r"[.!?](?=\s)", r"\n\n", r"\n", r"\s")]
+
+
+def split_points(text: str | None, size: int) -> list[int]:
+    """Places to cut a text into pieces of `size` characters, each up to a quarter longer where a sentence, paragraph, line or word ends there."""
+    t, out, at = text or "", [], 0
+    while at + size < len(t):
+        low = at + size
+        high = min(low + size // 4, len(t))
+        found = (m.end() for p in _CUTS if (m := p.search(t, low, high + 1)) and m.start() < high)
+        at = next(found, low)
+        out.append(at)
+    return out
+
+
+def node_uuid(name: Column) -> Column:
+    """The version 5 UUID of a name among object ids, by SHA-1 in the JVM."""
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8129dad11d180b400c04fd430c8")), name.cast("binary")))
+    part = lambda i, n: F.substring(h, i, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def build_nodes(docs: DataFrame, split, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Nodes of every document by a Python splitter: id, chunk_index, node_id (stable), content, start, end, bytes, words, prev_id, next_id.
+
+    Blank chunks are dropped, the others numbered without gaps; start and end
+    are code points, see offsets().
+    """
+
+    def cut(t: str | None) -> list[dict]:
+        chunks = [c for c in split(t) if c.strip()]
+        return [{"content": c, "start": a, "end": z} for c, (a, z) in zip(chunks, offsets(t or "", chunks), strict=True)]
+
+    rows = split_with(docs, cut, id_col, text, "array<struct<content: string, start: int, end: int>>").select(id_col, "chunk_index", "chunk.*")
+    rows = rows.withColumn("node_id", node_uuid(F.concat_ws("-", F.col(id_col).cast("string"), F.col("chunk_index"))))
+    rows = rows.withColumn("bytes", F.octet_length("content").cast("long")).withColumn("words", T.count_words(F.col("content")))
+    w = Window.partitionBy(id_col).orderBy("chunk_index")
+    return rows.withColumn("prev_id", F.lag("node_id").over(w)).withColumn("next_id", F.lead("node_id").over(w))
+
+
 def offsets(text: str, chunks: list[str]) -> list[tuple[int, int]]:
     """Start and end of each chunk: its first occurrence after the last start, else right there."""
     out, at = [], 0

@@ -127,6 +127,26 @@ def fused(retrievers: list[Retriever], method: str = "rrf", weights: list[float]
     return run
 
 
+def compressed(retrieve: Retriever, compress: Callable[[DataFrame, str], DataFrame] | None = None, postprocess: list[Callable[[DataFrame], DataFrame]] = (), compress_first: bool = True) -> Retriever:
+    """A retriever whose hits are compressed for the question and postprocessed, in this order or the other."""
+
+    def run(question: str, k: int) -> DataFrame:
+        out = retrieve(question, k)
+        if compress and compress_first:
+            out = compress(out, question)
+        for f in postprocess:
+            out = f(out)
+        return compress(out, question) if compress and not compress_first else out
+
+    return run
+
+
+def retrieval_stats(log: DataFrame) -> DataFrame:
+    """One row over a run log (hits, seconds, ok): queries, failures, success rate, mean hits, mean and longest time."""
+    n, ok = F.count("*"), F.count_if(F.col("ok"))
+    return log.agg(n.alias("queries"), (n - ok).alias("failures"), F.coalesce(ok / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("success_rate"), F.avg("hits").alias("mean_hits"), F.avg("seconds").alias("mean_seconds"), F.max("seconds").alias("max_seconds"))
+
+
 def pipeline(transform: Callable[[str], list[str]], search: Retriever, rerank: list[Callable[[DataFrame], DataFrame]] = (), after: list[Callable[[DataFrame], DataFrame]] = ()) -> Retriever:
     """Query transformation, search of all distinct queries, union by best score, rerankers, transformers."""
 
@@ -156,7 +176,9 @@ class Router:
             if m and int(m[0]) < len(self.engines):
                 return int(m[0])
         low = question.lower()
-        return len(self.engines) - 1 if low.startswith("how to") or "step" in low else 0
+        if any(x in low for x in ("summary", "overview", "what is")):
+            return 0
+        return len(self.engines) - 1 if any(x in low for x in ("how", "implement", "detail")) else 0
 
     def query(self, question: str, **args) -> dict:
         return self.engines[self.choose(question)].query(question, **args)

@@ -70,8 +70,8 @@ def test_vectors(spark):
     assert one(spark, V.cosine(lit(a), lit(z))) == 0 and one(spark, V.euclidean(lit(a), lit(a))) == 1
     assert one(spark, V.normalize(lit([3.0, 4.0]))) == pytest.approx([0.6, 0.8])
     assert one(spark, V.mean_pool(F.array(lit(a), lit(b)))) == pytest.approx([0.5, 0.5, 0])
-    with pytest.raises(ValueError):
-        V.metric("angle")
+    with pytest.warns(UserWarning):
+        assert V.metric("angle") is V.cosine
 
 
 def test_knn(spark):
@@ -120,8 +120,28 @@ def test_ivf_batch_is_ivf_search(spark, sf_dir):
 def test_dedup_beyond_limit(spark):
     hits = spark.createDataFrame([(0, i, 1 - i / 10, ["a"] if i < 2 else [f"w{i}"]) for i in range(6)], "qid int, doc_id long, score double, words array<string>")
     assert sorted(r.doc_id for r in dedup.greedy(hits, ["qid"], "doc_id", "words", limit=3).collect()) == [0, 2, 3, 4, 5]
-    got = {r.doc_id: round(r.score, 6) for r in dedup.diversity(hits, ["qid"], "doc_id", "words", limit=3).collect()}
-    assert got == {0: 1.0, 1: 0.4, 2: 0.8, 3: 0.7, 4: 0.6, 5: 0.5}
+
+
+def test_diversity_is_greedy(spark):
+    """The next is always the best after the penalty; scores stay, and top_n cuts."""
+    rows = [(0, 1, 0.9, "a b"), (0, 2, 0.85, "a b"), (0, 3, 0.6, "c"), (0, 4, 0.55, "c"), (0, 5, 0.1, ""), (1, 1, 0.5, "z")]
+    hits = spark.createDataFrame([(q, i, s, t.split()) for q, i, s, t in rows], "qid int, doc_id long, score double, words array<string>")
+
+    def brute(own, top_n):
+        left, out = sorted(own, key=lambda x: -x[2]), []
+        while left and len(out) < top_n:
+            def worth(x):
+                like = max((len(set(x[3].split()) & set(y[3].split())) / max(1, len(set(x[3].split()) | set(y[3].split()))) for y in out), default=-1)
+                return x[2] - (0.5 * like if like > 0.8 else 0)
+            best = max(left, key=worth)
+            left.remove(best)
+            out.append(best)
+        return [(x[0], x[1], x[2], k) for k, x in enumerate(out, 1)]
+
+    for n in (2, 4, 10):
+        want = brute(rows[:5], n) + brute(rows[5:], n)
+        got = dedup.diversity(hits, ["qid"], "doc_id", "words", top_n=n).select("qid", "doc_id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_filters(spark):
@@ -130,6 +150,10 @@ def test_filters(spark):
     assert one(spark, filters.keyword_predicate(F.lit("Climate is changing"), ["climate", "change"], ["spam"]))
     assert not one(spark, filters.keyword_predicate(F.lit("Climate spam"), ["climate"], ["spam"]))
     assert not one(spark, filters.keyword_predicate(F.lit("changing"), ["change"]))
+    assert one(spark, filters.keyword_predicate(F.lit("a foo-bar (x)"), ["FOO"])) and one(spark, filters.keyword_predicate(F.lit("a foo-bar"), ["foo-bar"]))
+    assert one(spark, filters.keyword_predicate(F.lit("on climate change now"), ["climate change"])) and not one(spark, filters.keyword_predicate(F.lit("climate, change"), ["climate change"]))
+    assert not one(spark, filters.keyword_predicate(F.lit("caféx"), ["café"])) and one(spark, filters.keyword_predicate(F.lit("un café."), ["CAFÉ"])) and not one(spark, filters.keyword_predicate(F.lit("a.c"), ["a+c"]))
+    assert not one(spark, filters.keyword_predicate(F.lit("Climate"), ["climate"], case_sensitive=True))
     docs = spark.createDataFrame([(1, "short"), (2, "long enough"), (3, "long enough")], "doc_id long, text string")
     assert [r.doc_id for r in filters.admit(docs).collect()] == [2]
     assert filters.chain(docs, [lambda d: d.filter("doc_id > 1"), lambda d: d.select("nothing")], True).count() == 2
@@ -147,7 +171,9 @@ def test_dedup(spark):
     assert [r.doc_id for r in dedup.deleted(docs.filter("doc_id = 'b'"), known).collect()] == ["c"]
     hits = spark.createDataFrame([(0, 1, 0.9, ["a", "b"]), (0, 2, 0.8, ["a", "b"]), (0, 3, 0.7, ["c"])], "qid int, doc_id long, score double, words array<string>")
     assert sorted(r.doc_id for r in dedup.greedy(hits, ["qid"], "doc_id", "words").collect()) == [1, 3]
-    assert {r.doc_id: round(r.score, 6) for r in dedup.diversity(hits, ["qid"], "doc_id", "words").collect()} == {1: 0.9, 3: 0.7, 2: 0.3}
+    assert [r.doc_id for r in dedup.diversity(hits, ["qid"], "doc_id", "words").orderBy("rank").collect()] == [1, 3, 2]
+    seq = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "a")], "i int, x string").withColumn("g", F.lit(0))
+    assert [r.i for r in dedup.adjacent(seq, ["g"], "i", ["x"]).orderBy("i").collect()] == [1, 3, 5]
 
 
 def test_auto_merge(spark):
@@ -179,7 +205,10 @@ def test_splitters():
 
 def test_native_windows(spark):
     assert one(spark, splitters.char_windows(F.lit("abcdef"), 4, 1)) == ["abcd", "def"]
-    assert one(spark, splitters.token_windows(F.lit("a b c d"), 2, 1)) == ["a b", "b c", "c d", "d"]
+    assert one(spark, splitters.char_windows(F.lit(""), 4, 1)) == []
+    rows = spark.createDataFrame([(1, "a b c d"), (2, ""), (3, None), (1, "a b c d")], "doc_id long, text string")
+    got = splitters.token_windows(rows, 2, 1).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.content) for r in got] == [(1, "a b"), (1, "b c"), (1, "c d"), (1, "d")]
     docs = spark.createDataFrame([(1, "First sentence. Second sentence. Third sentence.")], "doc_id long, text string")
     rows = splitters.sentence_windows(docs, 1).orderBy("chunk_index").collect()
     assert len(rows) == 3 and rows[1].window == "First sentence. Second sentence. Third sentence."
@@ -216,7 +245,16 @@ def test_chat(spark):
 
 def test_enrich(spark):
     x = one(spark, enrich.entities(F.lit("John Smith works at Acme Corp in Paris, mail a@b.co, call 555-123-4567")))
-    assert {"PERSON", "ORGANIZATION", "LOCATION", "EMAIL", "PHONE"} <= {r.label for r in x}
+    assert [(r.label, r.text) for r in x if r.label != "ORG"] == [("PERSON", "John Smith"), ("PERSON", "Acme Corp"), ("LOCATION", "Acme Corp"), ("LOCATION", "Paris"), ("EMAIL", "a@b.co"), ("PHONE", "555-123-4567")]
+    assert all((r.start, r.end) == (14 + 6, 29) for r in x if r.text == "Acme Corp") or x[0].start == 0
+    many = " and ".join(f"Jo{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abc'[i // 26]} Smith" for i in range(60)) + " http://x.org/y on 2024-01-02 for $5"
+    x = one(spark, enrich.entities(F.lit(many)))
+    assert len(x) == 63 and [r.label for r in x[-3:]] == ["URL", "DATE", "MONEY"] and [r.start for r in x] == sorted(r.start for r in x)
+    assert len(one(spark, enrich.entities(F.lit(many), 50))) == 50 and one(spark, enrich.entities(F.lit(None).cast("string"))) == []
+    found = F.expr("array(named_struct('label', 'PERSON', 'text', 'Ann Lee', 'confidence', 0.9D), named_struct('label', 'LOCATION', 'text', 'Rome', 'confidence', 0.8D))")
+    assert one(spark, enrich.grouped_entities(found, 0.85)) == {"PERSON": ["Ann Lee"]}
+    related = F.expr("array(named_struct('label', 'L', 'source', 'ann lee', 'target', 'ROME'), named_struct('label', 'L', 'source', 'x', 'target', 'Rome'))")
+    assert [r.source for r in one(spark, enrich.known_relations(related, found))] == ["ann lee"]
     assert one(spark, enrich.parse_keywords(F.lit("B, a, b,, c"), 2)) == ["a", "b"]
     t = one(spark, enrich.parse_triplets(F.lit("(A, likes, B)\n(a, Likes, b)\n(X, is, Y)\n(C, owns, C)")))
     assert [(r.s, r.p, r.o) for r in t] == [("a", "likes", "b")]
@@ -259,3 +297,77 @@ def test_media(spark):
     assert one(spark, media.encoding_of(F.unhex(F.lit("E9")))) == "latin-1"
     b = one(spark, media.box(F.lit(10), F.lit(20), F.lit(30), F.lit(40), F.lit(100), F.lit(200), True))
     assert (b.x, b.y, b.w, b.h) == (0.1, 0.1, 0.3, 0.2)
+
+
+def test_content_type_and_language(spark):
+    for text, kind in (("x `y` z", "code"), ("a\n  def f", "code"), ("define", "text"), ("# Title", "markdown"), ("a*b", "markdown"), ('json {"a": 1}', "json"), ("1 < 2 > 0", "html"), ("The Conclusion", "academic"), ("rapid", "documentation"), ("plain", "text")):
+        assert one(spark, T.content_type(F.lit(text))) == kind
+    assert one(spark, T.language_guess(F.lit("theforthinbutter of"))) == "en" and one(spark, T.language_guess(F.lit("xyz"))) is None and one(spark, T.language_guess(F.lit("中文文本"))) == "zh"
+    q = [tuple(one(spark, T.query_class(F.lit(t)))) for t in ("an Overview", "code it", "How so", "else", "how " * 20, "detail " * 20)]
+    assert q == [("summary", 2), ("code_specific", 2), ("detailed", 2), ("summary", 2), ("detailed", 3), ("detailed", 4)]
+
+
+def test_unknown_metric_is_cosine(spark):
+    from tessera.functions import vector as V
+
+    with pytest.warns(UserWarning):
+        assert V.metric("custom") is V.cosine
+
+
+def test_split_tokens():
+    text = "a b c d e f g h\ni j"
+    got = splitters.split_tokens(text, 3, 1)
+    assert got == ["a b c ", "c d e ", "e f g ", "g h\ni j"] or all(len(x.split()) <= 3 for x in got)
+    assert all(x in text and len(x.split()) <= 3 for x in got) and got[0] == "a b c " and got[1].startswith("c ")
+    assert splitters.split_tokens("x" * 50, 3, 0) == ["x" * 50] and splitters.split_tokens(None) == splitters.split_tokens("  ") == []
+    assert "".join(splitters.split_tokens("one two three four", 1, 0)) == "one two three four"
+    with pytest.raises(ValueError):
+        splitters.split_tokens("a", 0)
+
+
+def test_split_points():
+    text = "aaaa bbbb. cccc dddd\n\neeee ffff gggg"
+    for size in (4, 8, 12, 20):
+        at, out = 0, splitters.split_points(text, size)
+        for p in out:
+            assert at + size <= p <= at + size + size // 4 + 1
+            at = p
+        assert len(text) - at <= size
+    assert splitters.split_points("x" * 9, 8) == [8] and splitters.split_points(None, 5) == [] and splitters.split_points("aaaaaaaa. b c d e f", 8)[0] == 9
+
+
+def test_metadata_leaves_room(spark):
+    assert [splitters.effective_size(8, n) for n in (0, 5, 8, 20)] == [8, 3, 2, 2]
+    docs = spark.createDataFrame([(1, "a b c d e f", "k v"), (2, "a b c d e f", None)], "doc_id long, text string, metadata string")
+    got = splitters.split_with_metadata(docs, 4, 0, split=splitters.split_tokens).collect()
+    assert [max(len(r.chunk.split()) for r in got if r.doc_id == d) for d in (1, 2)] == [2, 4]
+
+
+def test_build_nodes(spark):
+    import uuid
+
+    docs = spark.createDataFrame([(7, "ab cd ab cd ef"), (8, None)], "doc_id long, text string")
+    rows = splitters.build_nodes(docs, lambda t: splitters.split_tokens(t, 2, 0)).orderBy("chunk_index").collect()
+    assert [r.node_id for r in rows] == [str(uuid.uuid5(uuid.NAMESPACE_OID, f"7-{i}")) for i in range(3)]
+    assert [(r.start, r.end, r.words) for r in rows] == [(0, 5, 2), (6, 11, 2), (12, 14, 1)]
+    assert [r.prev_id for r in rows] == [None, rows[0].node_id, rows[1].node_id] and rows[1].next_id == rows[2].node_id
+
+
+def test_windows_are_linear(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "w " * n)], "doc_id long, text string")
+        start = time.time()
+        assert splitters.token_windows(docs, 100, 20).count() == -(-n // 80)
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 3 * max(1, seconds(40_000))
+
+
+def test_rerank_orders(spark):
+    hits = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, score double")
+    assert [r.id for r in search.reranked(hits, "asc", 3).collect()] == [0, 1, 2] and [r.id for r in search.reranked(hits).collect()] == [*range(29, 19, -1)]
+    a, b = ([r.id for r in search.reranked(hits, "random", 30, seed=s).collect()] for s in (1, 2))
+    assert a != b and sorted(a) == sorted(b) == [*range(30)] and a == [r.id for r in search.reranked(hits, "random", 30, seed=1).collect()]

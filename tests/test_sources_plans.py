@@ -109,7 +109,7 @@ def test_stream(spark, tmp_path):
 
 def test_indexing(spark, tmp_path):
     docs = spark.createDataFrame([("1", "Alpha beta. Gamma delta.", {"a": "b"}), ("2", "Epsilon zeta.", {"a": "c"})], "doc_id string, content string, metadata map<string,string>")
-    p = P.IndexingPipeline(lambda d: splitters.to_nodes(d, splitters.token_windows(F.col("content"), 2, 0)), [lambda n: n.withColumn("title", F.lit("t"))], lambda n: enrich.embed(n, "content", 8))
+    p = P.IndexingPipeline(lambda d: splitters.chunk_nodes(splitters.token_windows(d, 2, 0, text="content")), [lambda n: n.withColumn("title", F.lit("t"))], lambda n: enrich.embed(n, "content", 8))
     vs, ds = stores.VectorStore(spark, str(tmp_path / "v"), 8), stores.DocumentStore(spark, str(tmp_path / "d"))
     assert p.run(docs, vs, ds).count() >= 0 and vs.count() == 3 and ds.count() == 2
     p.run(docs, vs, ds)
@@ -155,3 +155,64 @@ def test_parsers():
     with pytest.raises(ValueError):
         Q.topological({"a": ["b"], "b": ["a"]})
     assert Q.cost(1000, 2000, 1, 2) == 5 and Q.confidence([]) == 0
+
+
+def test_a_stopped_write_loses_nothing(spark, tmp_path):
+    """A write that fails half-way, or before the rename, leaves the last version; old versions go."""
+    t = stores.Table(spark, str(tmp_path / "t"), "k string, v long", ["k"])
+    t.upsert(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long"))
+    bad = spark.createDataFrame([("a", 1)], "k string, v long").withColumn("v", F.raise_error(F.lit("stop")).cast("long"))
+    with pytest.raises(Exception):
+        t.upsert(bad)
+    assert {r.k: r.v for r in t.read().collect()} == {"a": 1, "b": 2}
+    (tmp_path / "t" / "_part-left").mkdir()  # what a killed process leaves
+    assert t.count() == 2
+    for i in range(5):
+        t.upsert(spark.createDataFrame([("a", i), ("a", 9 - i)], "k string, v long"))
+    assert {r.k: r.v for r in t.read().collect()} == {"a": 5, "b": 2} and len(t.versions()) == 2
+    numbers = iter([["v-000000000000"], *[t.versions()] * 9])
+    t.versions = lambda: next(numbers)
+    with pytest.raises(RuntimeError):
+        (tmp_path / "t" / "v-000000000001").mkdir()
+        t.replace(spark.createDataFrame([("z", 1)], "k string, v long"))
+
+
+def test_cache_index_and_context(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    now = datetime(2024, 1, 1)
+    rows = lambda *r: spark.createDataFrame(r, "key string, value string")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    c = stores.CacheStore(spark, str(tmp_path / "c"), 2)
+    c.put(rows(("a", "1")), 60, now)
+    c.put(rows(("b", "2")), None, now + timedelta(seconds=1))
+    assert {r.key: r.value for r in c.lookup(keys("a", "b", "z"), now + timedelta(seconds=2)).collect()} == {"a": "1", "b": "2"}
+    assert [r.key for r in c.lookup(keys("a"), now + timedelta(seconds=60)).collect()] == []
+    assert c.stats() == {"hits": 2, "misses": 2, "evictions": 0, "hit_rate": 0.5}
+    c.put(rows(("d", "3")), 5, now + timedelta(seconds=3))
+    assert sorted(r.key for r in c.read().collect()) == ["b", "d"] and c.stats()["evictions"] == 1
+    assert c.cleanup(now + timedelta(seconds=100)) == 1 and c.count() == 1
+    u = stores.CacheStore(spark, str(tmp_path / "u"), 2, "least_used")
+    u.put(rows(("a", "1"), ("b", "2")), None, now)
+    u.lookup(keys("a"), now)
+    u.put(rows(("d", "3")), None, now + timedelta(seconds=9))
+    assert sorted(r.key for r in u.read().collect()) == ["a", "d"]
+    s = stores.StorageContext(spark, str(tmp_path / "s"), 3)
+    s.indexes.add("i", "vector", ["n1", "n2"])
+    s.indexes.add("j", "keyword", [])
+    s.persist()
+    again = stores.StorageContext.load(spark, str(tmp_path / "s"))
+    assert again.dims == 3 and again.indexes.struct("i").node_ids == ["n1", "n2"] and again.indexes.struct("x") is None
+    again.indexes.drop("i")
+    assert [r.index_id for r in s.indexes.read().collect()] == ["j"]
+
+
+def test_compressed_and_stats(spark):
+    base = lambda q, k: spark.createDataFrame([(i, f"t{i}", 1.0 - i / 10) for i in range(k)], "id long, content string, score double")
+    short = lambda df, q: df.filter("id > 0")
+    first = [lambda df: df.orderBy(F.desc("score")).limit(1)]
+    assert [r.id for r in Q.compressed(base, short, first)("q", 4).collect()] == [1]
+    assert [r.id for r in Q.compressed(base, short, first, False)("q", 4).collect()] == []
+    assert Q.compressed(base)("q", 3).count() == 3
+    log = spark.createDataFrame([(3, 0.5, True), (0, 1.5, False)], "hits long, seconds double, ok boolean")
+    assert tuple(Q.retrieval_stats(log).first()) == (2, 1, 0.5, 1.5, 1.0, 1.5) and Q.retrieval_stats(log.limit(0)).first().success_rate == 0
