@@ -32,6 +32,8 @@ from tessera.llm.common import cut, free_name, mix, slices, span_hashes, utf8, w
 CAP, DEPTH = 4096, 4
 #: Nodes of a large part of all links that are sent to every task, at most.
 HUBS = 4096
+#: Rows of a node that one task may well take.
+HUB_ROWS = 100_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -179,8 +181,11 @@ def components(links: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame, rows: int) -> DataFrame:
         """u, v and m, the least of u and its neighbours. A node with over 1/HUBS of all rows (there are fewer than HUBS) meets its rows where they are."""
-        least = cut(pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("k")))
-        hubs = F.broadcast(least.filter(F.col("k") > max(rows / HUBS, 1000)).select("u", "m"))  # fewer than HUBS rows
+        least = pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("k"))
+        if rows <= HUB_ROWS:  # no node can have more
+            return pairs.join(least.drop("k"), "u")
+        least = cut(least)
+        hubs = F.broadcast(least.filter(F.col("k") > max(rows / HUBS, HUB_ROWS)).select("u", "m"))  # fewer than HUBS rows
         return pairs.join(hubs.select("u"), "u", "left_anti").join(least.drop("k"), "u").union(pairs.join(hubs, "u"))
 
     def state(e: DataFrame):
@@ -191,7 +196,7 @@ def components(links: DataFrame) -> DataFrame:
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, 2 * was[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct())
+        large = large.distinct() if was[0] <= HUB_ROWS else cut(large.distinct())
         small = star(large, was[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         e = cut(small.filter("u <> v").distinct())

@@ -231,9 +231,9 @@ def test_keep_one_of_one_id(spark):
     assert [x[0] for x in got if x[0] in (3, 4)] == [3]
 
 
-@pytest.mark.parametrize("hubs", [4096, 3])
-def test_components_with_hubs(spark, hubs, monkeypatch):
-    monkeypatch.setattr(simhash, "HUBS", hubs)
+@pytest.mark.parametrize("hub_rows", [simhash.HUB_ROWS, 50])
+def test_components_with_hubs(spark, hub_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB_ROWS", hub_rows)
     pairs = [(0, i) for i in range(1, 4000)] + [(5000 + i, 3999 - i) for i in range(50)] + [(9000, 9001)]
     got = {r.v: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(4000)}, **{5000 + i: 0 for i in range(50)}, 9000: 9000, 9001: 9000}
