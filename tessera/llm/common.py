@@ -138,18 +138,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers beyond so many are made for one use and not kept by the worker (8 bytes each, twice).
+_KEPT_POWERS = 1 << 20
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept by the worker."""
+    """base**i and base**-i modulo 2**64 for i < n; the worker keeps them up to _KEPT_POWERS."""
     kept = kept_in_worker("powers", dict)
-    if len(kept.get(base, ((), ()))[0]) < n:
-        m = 1 << max(12, (n - 1).bit_length())
+    own = kept.get(base, ((), ()))
+    if len(own[0]) < n:
+        m = (n + 65535) >> 16 << 16
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(m, np.uint64(b & _M64))
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        kept[base] = tuple(out)
-    up, down = kept[base]
+        own = tuple(out)
+        if m <= _KEPT_POWERS:
+            kept[base] = own
+    up, down = own
     return up[:n], down[:n]
 
 

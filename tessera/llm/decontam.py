@@ -37,7 +37,9 @@ WINDOW = 10
 #: Bytes of test text for each block. Of 8 MB (windows of 10 words of 6 letters) the tables took 0.6 GB while they were made and 80 MB when kept.
 BLOCK_BYTES = 4 << 20
 _TURN = np.uint64(0x9E3779B97F4A7C15)
-_LANE = 2048  # bytes of text for each stretch
+_LANE = 1024  # bytes of text for each stretch
+#: Bytes of text that are searched at a time; a longer text is searched alone.
+SLICE_BYTES = (1 << 20) - (1 << 16)
 #: Windows of fewer bytes are searched with the tables of their own length class.
 CLASSES = (0, 4, 8, 16, 32, 64)
 _SPAN = {0: 2, 4: 4, 8: 6, 16: 8, 32: 8, 64: 8}
@@ -231,30 +233,33 @@ def _search(blocks: list, text: str, name: str):
     def run(batches):
         for batch in batches:
             buf, off = utf8(batch.column(batch.schema.get_field_index(text)))
-            folded = buf.tobytes().translate(FOLD)
-            pieces = []
-            for i, j in slices(off, 4 << 20):
-                raw, begin = spaced([folded[off[k] : off[k + 1]] for k in range(i, j)])
-                pieces.append((raw, begin, np.flatnonzero(raw == 32)))
-            hits: list[dict] = [defaultdict(list) for _ in pieces]
-            items: list[dict] = [defaultdict(set) for _ in pieces]
-            for block in blocks:
-                s = block.kept() if len(blocks) == 1 else block.load()
-                for (raw, begin, gap), hit, item in zip(pieces, hits, items, strict=True):
-                    start, end, at, own = s.find(raw)
+            parts = [*slices(off, SLICE_BYTES)]
+            hits: list[dict] = [defaultdict(list) for _ in parts]
+            items: list[dict] = [defaultdict(set) for _ in parts]
+            n_words: list[np.ndarray] = [np.zeros(0, np.int64)] * len(parts)
+            for turn, block in enumerate(blocks or [None]):
+                s = block and (block.kept() if len(blocks) == 1 else block.load())
+                for k, (i, j) in enumerate(parts):
+                    folded = buf[off[i] : off[j]].tobytes().translate(FOLD)
+                    own = (off[i : j + 1] - off[i]).tolist()
+                    raw, begin = spaced([folded[a:z] for a, z in zip(own[:-1], own[1:], strict=True)])
+                    gap = np.flatnonzero(raw == 32)
+                    if not turn:
+                        n_words[k] = np.where(np.diff(begin) > 2, np.diff(np.searchsorted(gap, begin)) - 1, 0)
+                    if not s:
+                        continue
+                    start, end, at, item = s.find(raw)
                     doc = np.searchsorted(begin, start, "right") - 1
                     base = np.searchsorted(gap, begin[doc])
                     for d, a, z in zip(doc.tolist(), (np.searchsorted(gap, start) - base).tolist(), (np.searchsorted(gap, end - 1) - base).tolist(), strict=True):
-                        hit[d].append((a, z))
+                        hits[k][d].append((a, z))
                     doc = np.searchsorted(begin, at, "right") - 1
-                    for d, i in set(zip(doc.tolist(), own.tolist(), strict=True)):
-                        item[d].add(s.names[i])
+                    for d, x in set(zip(doc.tolist(), item.tolist(), strict=True)):
+                        items[k][d].add(s.names[x])
                 del s
-            n_words, n_hits, a, z, n_items, flat = [], [], [], [], [], []
-            for (raw, begin, gap), hit, item in zip(pieces, hits, items, strict=True):
-                n = np.diff(np.searchsorted(gap, begin)) - 1
-                n_words.append(np.where(np.diff(begin) > 2, n, 0))
-                for d in range(len(begin) - 1):
+            n_hits, a, z, n_items, flat = [], [], [], [], []
+            for (i, j), hit, item in zip(parts, hits, items, strict=True):
+                for d in range(j - i):
                     spans = merged(hit[d]) if d in hit else []
                     n_hits.append(len(spans))
                     a += [x for x, _ in spans]

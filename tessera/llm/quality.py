@@ -290,7 +290,7 @@ def _scored(field: Field, text: str, out: list[str], lines: bool):
         for batch in batches:
             buf, off = utf8(batch.column(batch.schema.get_field_index(text)))
             score, good, ends = np.zeros(len(off) - 1), [np.zeros(0)], [np.zeros(1, np.int64)]
-            for i, j in slices(off, 2 << 20):
+            for i, j in slices(off, 1 << 19):
                 x, chars, per_doc = line_features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 p = field.marginals(x, per_doc)
                 score[i:j] = field.curved(pooled(p, chars, per_doc))

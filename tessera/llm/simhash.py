@@ -287,7 +287,7 @@ def _set_prints(shingle: int):
     def run(batches):
         for batch in batches:
             buf, off = utf8(batch.column(1))
-            for i, j in slices(off, 1 << 20):
+            for i, j in slices(off, 1 << 19):
                 h, begin = _shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                 out = np.zeros((PRINTS, j - i), np.uint64)
                 has = np.flatnonzero(np.diff(begin))
@@ -306,7 +306,7 @@ def _sets(shingle: int):
     def run(batches):
         for batch in batches:
             buf, off = utf8(batch.column(0))
-            for i, j in slices(off, 1 << 20):
+            for i, j in slices(off, 1 << 19):
                 h, begin = _shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                 own = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _set_name(h, begin)), own], names=["s", "t", "own"])
