@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -41,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Have the driver's JVM collect garbage, as Spark deletes the shuffle files and checkpoints of earlier rounds only then."""
+    gc.collect()  # Python's ends of the tables first
+    df.sparkSession._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column of df has it (case aside)."""
     own = {c.lower() for c in df.columns}

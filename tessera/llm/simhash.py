@@ -23,10 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_name, mix, slices, span_hashes, utf8, word_hashes, words
+from tessera.llm.common import cut, free_name, mix, release, slices, span_hashes, utf8, word_hashes, words
 
 #: Members of a bucket that are compared directly, and times that a larger one is hashed again.
 CAP, DEPTH = 4096, 4
@@ -181,10 +181,9 @@ def components(links: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame, rows: int) -> DataFrame:
         """u, v and m, the least of u and its neighbours. A node with over 1/HUBS of all rows (there are fewer than HUBS) meets its rows where they are."""
-        least = pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("k"))
-        if rows <= HUB_ROWS:  # no node can have more
-            return pairs.join(least.drop("k"), "u")
-        least = cut(least)
+        if rows <= HUB_ROWS:  # no node can have more, so one task may take all of a node's
+            return pairs.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+        least = cut(pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("k")))
         hubs = F.broadcast(least.filter(F.col("k") > max(rows / HUBS, HUB_ROWS)).select("u", "m"))  # fewer than HUBS rows
         return pairs.join(hubs.select("u"), "u", "left_anti").join(least.drop("k"), "u").union(pairs.join(hubs, "u"))
 
@@ -194,16 +193,18 @@ def components(links: DataFrame) -> DataFrame:
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     was = state(e)
     while was[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         large = star(both, 2 * was[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct() if was[0] <= HUB_ROWS else cut(large.distinct())
+        if was[0] > HUB_ROWS:  # in a small round, rows that are there twice change nothing
+            large = cut(large.distinct())
         small = star(large, was[0])
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        small = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         e = cut(small.filter("u <> v").distinct())
         now = state(e)
         if now == was:
             break
         was = now
+        release(e)
     return e.select(F.col("u").alias("x"), "v").groupBy("x").agg(F.min("v").alias("root")).select(F.col("x").alias("v"), "root").union(e.select("v", F.col("v").alias("root")).distinct())
 
 
