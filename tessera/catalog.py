@@ -255,9 +255,8 @@ def sentence_window(spark, d):
     return x.select("doc_id", "chunk_index", F.octet_length("original_text").cast("long").alias("bytes"), F.octet_length("window").cast("long").alias("window_bytes"))
 
 
-def _chunks(spark, d, chunks):
-    x = splitters.to_nodes(_t(spark, d, "documents"), chunks)
-    return x.select("doc_id", "chunk_index", "node_id", F.md5("content").alias("hash"), "prev_id", "next_id")
+def _chunks(docs, chunks):
+    return splitters.to_nodes(docs, chunks, name="hash", value=F.md5).select("doc_id", "chunk_index", "node_id", "hash", "prev_id", "next_id")
 
 
 def _chunk_sql(items: str) -> str:
@@ -267,14 +266,9 @@ def _chunk_sql(items: str) -> str:
  lag(doc_id || '-' || i) OVER (PARTITION BY doc_id ORDER BY i) AS prev_id, lead(doc_id || '-' || i) OVER (PARTITION BY doc_id ORDER BY i) AS next_id FROM x"""
 
 
-query("char_window", _chunk_sql("list_transform(range(1, length(text) + 1, 462), lambda p: substring(text, p, 512))"))(lambda s, d: _chunks(s, d, splitters.char_windows(F.col("text"))))
-def _rows(spark, chunks):
-    x = splitters.chunk_nodes(chunks)
-    return x.select("doc_id", "chunk_index", "node_id", F.md5("content").alias("hash"), "prev_id", "next_id")
-
-
-query("token_window", _chunk_sql("list_transform(range(1, len(w) + 1, 80), lambda p: array_to_string(w[p : p + 99], ' '))"))(lambda s, d: _rows(s, splitters.token_windows(_t(s, d, "documents"), 100, 20)))
-query("code_line_window", _chunk_sql("list_transform(range(1, len(string_split(text, chr(10))) + 1, 25), lambda p: array_to_string(string_split(text, chr(10))[p : p + 39], chr(10)))"))(lambda s, d: _rows(s, splitters.line_windows(_t(s, d, "documents"))))
+query("char_window", _chunk_sql("list_transform(range(1, length(text) + 1, 462), lambda p: substring(text, p, 512))"))(lambda s, d: _chunks(_t(s, d, "documents"), splitters.char_windows(F.col("text"))))
+query("token_window", _chunk_sql("list_transform(range(1, len(w) + 1, 80), lambda p: array_to_string(w[p : p + 99], ' '))"))(lambda s, d: _chunks(splitters.token_window_lists(_t(s, d, "documents"), 100, 20), "chunks"))
+query("code_line_window", _chunk_sql("list_transform(range(1, len(string_split(text, chr(10))) + 1, 25), lambda p: array_to_string(string_split(text, chr(10))[p : p + 39], chr(10)))"))(lambda s, d: _chunks(splitters.line_window_lists(_t(s, d, "documents")), "chunks"))
 
 
 @query("sentence_split")

@@ -25,37 +25,58 @@ def char_windows(c: Column, size: int = 512, overlap: int = 50) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n, F.lit(size - overlap)), lambda p: F.substr(c, p, F.lit(size))))
 
 
-def _windows(docs: DataFrame, pieces: Column, size: int, overlap: int, joint: str, id_col: str) -> DataFrame:
-    """id, chunk_index and content: every size - overlap pieces a window of `size`, which takes time in proportion to the pieces.
+def _windows(docs: DataFrame, pieces: Column, size: int, overlap: int, joint: str, keep: list) -> DataFrame:
+    """The columns `keep`, pieces and chunks of each row: every size - overlap pieces a window of `size`.
 
-    A piece goes to each window that it is in (size / (size - overlap) of them
-    on average), so no window looks at its whole document. Repeated rows give
-    their windows once.
+    Takes time in proportion to the windows' pieces, as a window reads its own
+    by position; nothing is shuffled.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap is from 0 to less than size")
-    step = size - overlap
-    rows = docs.select(id_col, pieces.alias("pieces")).select(id_col, F.xxhash64("pieces").alias("of"), "pieces")  # before the generator, so once for each document
-    rows = rows.select(id_col, "of", F.posexplode("pieces").alias("pos", "piece"))
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1).cast("int")
-    rows = rows.select(id_col, "of", "pos", "piece", F.explode(F.sequence(first, F.floor(F.col("pos") / step).cast("int"))).alias("w"))
-    own = rows.groupBy(id_col, "of", "w").agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("own"))
-    return own.select(id_col, F.col("w").alias("chunk_index"), F.array_join(F.transform("own", lambda x: x["piece"]), joint).alias("content"))
+    rows = docs.select(*keep, F.explode(F.array(pieces)).alias("pieces"))  # a generator, as the plan would put a mere projection into the lambda, once for each piece
+    n = F.size("pieces")
+
+    def window(p):
+        return F.array_join(F.transform(F.sequence(p, F.least(p + size, n) - 1), lambda i: F.get("pieces", i)), joint)
+
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(size - overlap)), window))
+    return rows.select(*keep, "pieces", chunks.alias("chunks"))
+
+
+def _window_rows(docs: DataFrame, pieces: Column, size: int, overlap: int, joint: str, id_col: str) -> DataFrame:
+    """id, chunk_index and content; repeated rows give their windows once."""
+    rows = _windows(docs, pieces, size, overlap, joint, [id_col]).select(id_col, F.xxhash64("pieces").alias("of"), F.posexplode("chunks").alias("chunk_index", "content"))
+    return rows.distinct().drop("of")
 
 
 def token_windows(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of `size` white-space tokens, joined by a space: id, chunk_index, content."""
-    return _windows(docs, T.whitespace_words(F.col(text)), size, overlap, " ", id_col)
+    return _window_rows(docs, T.whitespace_words(F.col(text)), size, overlap, " ", id_col)
 
 
 def line_windows(docs: DataFrame, lines: int = 40, overlap: int = 15, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of lines, for code without a parser: id, chunk_index, content."""
-    return _windows(docs, F.split(text, "\n"), lines, overlap, "\n", id_col)
+    return _window_rows(docs, F.split(text, "\n"), lines, overlap, "\n", id_col)
+
 
+def token_window_lists(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The windows of token_windows() as an array `chunks` of each row, for to_nodes()."""
+    return _windows(docs, T.whitespace_words(F.col(text)), size, overlap, " ", [id_col]).drop("pieces")
 
-def to_nodes(docs: DataFrame, chunks: Column, id_col: str = "doc_id", name: str = "content") -> DataFrame:
-    """One row for each non-blank chunk: doc_id, chunk_index, node_id, content, prev_id, next_id."""
+
+def line_window_lists(docs: DataFrame, lines: int = 40, overlap: int = 15, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The windows of line_windows() as an array `chunks` of each row, for to_nodes()."""
+    return _windows(docs, F.split(text, "\n"), lines, overlap, "\n", [id_col]).drop("pieces")
+
+
+def to_nodes(docs: DataFrame, chunks: Column, id_col: str = "doc_id", name: str = "content", value=None) -> DataFrame:
+    """One row for each non-blank chunk: doc_id, chunk_index, node_id, content, prev_id, next_id.
+
+    value: what is kept of a content, as its hash, before nodes are linked; texts are not shuffled then.
+    """
     rows = docs.select(id_col, F.posexplode(F.filter(chunks, lambda x: F.trim(x) != "")).alias("chunk_index", name))
+    if value is not None:
+        rows = rows.withColumn(name, value(F.col(name)))
     return linked(rows, id_col)
 
 

@@ -392,6 +392,17 @@ def test_windows_are_linear(spark):
     assert seconds(80_000) < 3 * max(1, seconds(40_000))
 
 
+def test_window_queries_shuffle_no_texts(spark, tmp_path):
+    """Windows are made in their row and only hashes are linked; repeated rows as in the SQL, each with its windows."""
+    docs = spark.createDataFrame([(1, "a b " * 100), (2, " \n\t"), (3, None), (4, "x\n" * 60), (1, "a b " * 100)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, n in (("token_window", 3 + 3 + 1), ("code_line_window", 1 + 1 + 1 + 3)):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and plan.index("md5") > plan.index("Window")
+        assert got.count() == n
+
+
 def test_rerank_orders(spark):
     hits = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, score double")
     assert [r.id for r in search.reranked(hits, "asc", 3).collect()] == [0, 1, 2] and [r.id for r in search.reranked(hits).collect()] == [*range(29, 19, -1)]
