@@ -11,8 +11,11 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as T
 
@@ -405,14 +408,42 @@ def code_facts(text: str | None) -> dict:
     }
 
 
-def split_with(docs: DataFrame, split, id_col: str = "doc_id", text: str = "text", schema: str = "array<string>") -> DataFrame:
-    """chunks of every document by a Python splitter, as rows of chunk_index and chunk."""
+#: Characters of texts and chunks that a worker holds before it sends chunks.
+SENT = 1_000_000
+
 
-    @F.pandas_udf(schema)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(split)
+def split_with(docs: DataFrame, split, id_col: str = "doc_id", text: str = "text", schema: str = "array<string>") -> DataFrame:
+    """chunks of every document by a Python splitter, as rows of chunk_index and chunk.
 
-    return docs.select(id_col, F.posexplode(run(text)).alias("chunk_index", "chunk"))
+    A worker sends its chunks whenever documents and chunks since the last time
+    have SENT characters, and so never holds those of a whole Arrow batch.
+    """
+    kind = T_.StructType.fromDDL(f"x {schema}")[0].dataType.elementType
+    src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    out = T_.StructType([src.schema["id"], T_.StructField("chunk_index", T_.IntegerType()), T_.StructField("chunk", kind)])
+
+    def run(batches):
+        arrow = to_arrow_type(kind)
+
+        def made(batch, own):
+            at, nth, chunks = zip(*own, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(nth, pa.int32()), pa.array(chunks, arrow)], names=["id", "chunk_index", "chunk"])
+
+        for batch in batches:
+            own, n = [], 0
+            for i, t in enumerate(batch.column(1)):
+                t = t.as_py()
+                n += len(t or "")
+                for j, c in enumerate(split(t)):
+                    own.append((i, j, c))
+                    n += sum(len(x) for x in (c.values() if isinstance(c, dict) else [c]) if isinstance(x, str))
+                    if n >= SENT:
+                        yield made(batch, own)
+                        own, n = [], 0
+            if own:
+                yield made(batch, own)
+
+    return src.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 def hierarchical(docs: DataFrame, sizes=(2048, 512, 128), overlap: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:

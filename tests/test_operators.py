@@ -403,6 +403,17 @@ def test_window_queries_shuffle_no_texts(spark, tmp_path):
         assert got.count() == n
 
 
+def test_split_with_sends_parts(spark, sf_dir, monkeypatch):
+    """Chunks go in parts of bounded size, all of them and in order."""
+    monkeypatch.setattr(splitters, "SENT", 5000)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["html_sections"](spark, sf_dir).collect()]
+    want = [(r.page_id, i, c["tag"], c["content"]) for r in pages.collect() for i, c in enumerate(splitters.split_html(r.html))]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    plan = splitters.split_with(pages, splitters.split_html, "page_id", "html", "array<struct<tag: string, content: string>>")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_rerank_orders(spark):
     hits = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, score double")
     assert [r.id for r in search.reranked(hits, "asc", 3).collect()] == [0, 1, 2] and [r.id for r in search.reranked(hits).collect()] == [*range(29, 19, -1)]
