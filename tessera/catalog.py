@@ -561,7 +561,9 @@ def index_stats(spark, d):
 
 @query("monitor_trailing", "SELECT event_id, n, round(mean, 6) AS mean FROM (SELECT event_id, count(*) OVER w AS n, avg(value) OVER w AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))")
 def monitor_trailing(spark, d):
-    return ingest.trailing(_t(spark, d, "events"), 3600).select("event_id", "n", F.round("mean", 6).alias("mean"))
+    e = _t(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    # As the SQL rounds: Spark's round() to 6 places goes by a double's decimal digits.
+    return ingest.trailing(e, 3600).select("event_id", "n", (F.round(F.col("mean") * 1e6) / 1e6).alias("mean"))
 
 
 @query("extension_daily_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
